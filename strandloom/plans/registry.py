@@ -1,0 +1,7 @@
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and the DuckDB SQL that must agree."""
+
+from __future__ import annotations
+
+FLAGSHIP = "kmer_freq"
+QUERIES: dict = {}
+ORACLES: dict = {}
