@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from strandloom.llm import rules
 from strandloom.llm.bitplanes import op2_bitplane_tokens
+from strandloom.llm.mixing import op5_entropy_mixing
 from strandloom.llm.packing import op7_best_fit_packing
+from strandloom.llm.rules import op10_rule_ledger
 
 QUERIES = {
     "op2_bitplane_tokens": op2_bitplane_tokens,
+    "op5_entropy_mixing": op5_entropy_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_rule_ledger": op10_rule_ledger,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_rule_ledger": rules.ORACLE}
