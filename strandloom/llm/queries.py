@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from strandloom.llm import rules
+from strandloom.llm import rules, topk
 from strandloom.llm.bitplanes import op2_bitplane_tokens
 from strandloom.llm.mixing import op5_entropy_mixing
 from strandloom.llm.packing import op7_best_fit_packing
 from strandloom.llm.rules import op10_rule_ledger
+from strandloom.llm.simhash import op6_simhash_pigeonhole
+from strandloom.llm.topk import op8_exact_top_k
 
 QUERIES = {
     "op2_bitplane_tokens": op2_bitplane_tokens,
     "op5_entropy_mixing": op5_entropy_mixing,
+    "op6_simhash_pigeonhole": op6_simhash_pigeonhole,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_rule_ledger": op10_rule_ledger,
 }
-ORACLES: dict[str, str] = {"op10_rule_ledger": rules.ORACLE}
+ORACLES: dict[str, str] = {"op8_exact_top_k": topk.ORACLE, "op10_rule_ledger": rules.ORACLE}
