@@ -6,6 +6,7 @@ from strandloom.llm import rules, topk
 from strandloom.llm.bitplanes import op2_bitplane_tokens
 from strandloom.llm.mixing import op5_entropy_mixing
 from strandloom.llm.packing import op7_best_fit_packing
+from strandloom.llm.quality import op9_quality_trees
 from strandloom.llm.rules import op10_rule_ledger
 from strandloom.llm.simhash import op6_simhash_pigeonhole
 from strandloom.llm.topk import op8_exact_top_k
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_simhash_pigeonhole": op6_simhash_pigeonhole,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_quality_trees": op9_quality_trees,
     "op10_rule_ledger": op10_rule_ledger,
 }
 ORACLES: dict[str, str] = {"op8_exact_top_k": topk.ORACLE, "op10_rule_ledger": rules.ORACLE}
