@@ -9,10 +9,12 @@ from strandloom.llm.packing import op7_best_fit_packing
 from strandloom.llm.quality import op9_quality_trees
 from strandloom.llm.rules import op10_rule_ledger
 from strandloom.llm.simhash import op6_simhash_pigeonhole
+from strandloom.llm.suffixes import op4_suffix_dedup
 from strandloom.llm.topk import op8_exact_top_k
 
 QUERIES = {
     "op2_bitplane_tokens": op2_bitplane_tokens,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op6_simhash_pigeonhole": op6_simhash_pigeonhole,
     "op7_best_fit_packing": op7_best_fit_packing,
