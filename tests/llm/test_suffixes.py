@@ -64,7 +64,7 @@ def test_several_waves(spark, monkeypatch):
     seen = []
     real = S.suffix_pairs
     monkeypatch.setattr(S, "suffix_pairs", lambda *a: seen.append(a[3]) or real(*a))
-    got = S.repeated_spans(docs, length=40, block_bytes=5000, bucket_keys=300, wave_share=0, least_wave=20_000).collect()
+    got = S.repeated_spans(docs, length=40, block_bytes=5000, bucket_keys=300, wave_share=0, least_wave=5_000).collect()
     assert len(seen) > 3
     assert sorted(tuple(r) for r in got) == sorted((i, *w[:4]) for i, w in enumerate(brute([(t or "").encode() for t in texts], 40)))
 
