@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +32,34 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and a column that names each row: doc_id if it does, else a number given to the stored rows."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return (docs, "doc_id") if n == ids else (stored(docs.withColumn("_row", F.monotonically_increasing_id()), "named-rows"), "_row")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While an action runs, hand Python workers at most so many rows at a time: for texts, a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Frames of at most so many rows, so that what a Python worker makes of a batch stays small."""
+    for f in frames:
+        for at in range(0, len(f), rows):
+            yield f.iloc[at : at + rows]

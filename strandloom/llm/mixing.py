@@ -97,5 +97,14 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", *keep)
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it."""
+    docs, key = _io.named(docs)
+    taken = mix(docs.select(F.col(key).alias("doc_id"), "source", "text"), **options).where("copies > 0")
+    out = docs.join(taken.select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies")), docs[key] == F.col("_key"))
+    cols = [c for c in docs.columns if c != "_row"]
+    return out.select(*cols, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*cols)
+
+
 def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_io.table(spark, sf_dir, "documents")).drop("source")

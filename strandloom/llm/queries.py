@@ -6,14 +6,18 @@ from strandloom.llm import rules, topk
 from strandloom.llm.bitplanes import op2_bitplane_tokens
 from strandloom.llm.mixing import op5_entropy_mixing
 from strandloom.llm.packing import op7_best_fit_packing
+from strandloom.llm.pages import op3_page_differencing
 from strandloom.llm.quality import op9_quality_trees
+from strandloom.llm.quotes import op1_quotation_links
 from strandloom.llm.rules import op10_rule_ledger
 from strandloom.llm.simhash import op6_simhash_pigeonhole
 from strandloom.llm.suffixes import op4_suffix_dedup
 from strandloom.llm.topk import op8_exact_top_k
 
 QUERIES = {
+    "op1_quotation_links": op1_quotation_links,
     "op2_bitplane_tokens": op2_bitplane_tokens,
+    "op3_page_differencing": op3_page_differencing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_entropy_mixing": op5_entropy_mixing,
     "op6_simhash_pigeonhole": op6_simhash_pigeonhole,

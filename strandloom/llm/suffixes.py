@@ -364,11 +364,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", *, length: int = LENGTH
 
 def dedup_texts(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, any others) without their repeated strings; n_chars, where there is one, follows the text."""
-    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    key = "doc_id"
-    if n != ids:  # rows need names of their own
-        key = "_row"
-        docs = _io.stored(docs.withColumn(key, F.monotonically_increasing_id()), "named-rows")
+    docs, key = _io.named(docs)
     changed = _io.stored(repeated_spans(docs, key, with_text=True, **options).where("n_removed > 0").select(F.col(key).alias("_key"), "kept"), "kept")
     whole = F.udf(lambda raw: bytes(raw).decode(errors="ignore"), "string")  # a cut may leave part of a character
     changed = changed.select("_key", F.coalesce(F.when(F.col("kept").isNotNull(), whole("kept")), F.lit("")).alias("_kept"))
