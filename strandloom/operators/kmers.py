@@ -22,7 +22,7 @@ def pattern_positions(seqs: DataFrame, pattern: str) -> DataFrame:
 
 
 def pattern_overlap(seqs: DataFrame, pattern: str) -> DataFrame:
-    return seqs.select("doc_id", F.explode(S.overlapping_starts(F.col("seq"), pattern)).cast("long").alias("start"))
+    return seqs.select("doc_id", F.explode(S.overlapping_starts(F.col("seq"), pattern).cast("array<bigint>")).alias("start"))
 
 
 def pattern_count(seqs: DataFrame, pattern: str) -> DataFrame:

@@ -2,6 +2,408 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "kmer_freq"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import fuzzy
+from strandloom.functions import sequence as S
+from strandloom.functions.align import align, align_pretty
+from strandloom.operators import clusters, compare, kmers, ranges, search
+from strandloom.operators import suffix_index as X
+from strandloom.params import Params
+from strandloom.plans import views as V
+from strandloom.plans.align import align_reads
+from strandloom.sources import text as T
+from strandloom.streaming.align_stream import stream_align as stream
+
+FLAGSHIP = "align_e2e"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SHORT = Params(min_score=180)  # reads here have 100 to 150 bases
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def seq_sql(body: str) -> str:
+    return f"{V.with_views('seqs')} {body}"
+
+
+# --- scalar functions
+
+
+@query(seq_sql("SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM seqs"))
+def reverse_complement(spark, d):
+    return V.seqs(spark, d).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(f"{V.with_views('raws')} SELECT doc_id, trim(raw, 'N') AS seq, (length(raw) - length(ltrim(raw, 'N')))::BIGINT AS shift FROM raws")
+def trim_n(spark, d):
+    seq, shift = S.trim_n(F.col("raw"))
+    return V.raw_seqs(spark, d).select("doc_id", seq.alias("seq"), shift.alias("shift"))
+
+
+@query(f"{V.with_views('raws')} SELECT doc_id, array_to_string(list_transform(string_split(translate(raw, 'BDRYKMSWV', 'CGACTACAA'), ''), lambda c, i: CASE WHEN c = 'N' THEN substring('ACGT', ((i - 1) % 4 + 1)::INT, 1) ELSE c END), '') AS seq FROM raws")
+def resolve_iupac(spark, d):
+    return V.raw_seqs(spark, d).select("doc_id", S.resolve(F.col("raw")).alias("seq"))
+
+
+@query(f"{V.with_views('raws')} SELECT doc_id, k AS kept, (CASE WHEN k = '' THEN NULL ELSE length(raw) - length(k) END)::BIGINT AS skipped FROM (SELECT *, regexp_extract(raw, '^(.*[^N]{{7}}.)', 1) AS k FROM raws)")
+def skip_n(spark, d):
+    k = S.skip_n(F.col("raw"))
+    return V.raw_seqs(spark, d).select("doc_id", k.alias("kept"), F.when(k != "", F.length("raw") - F.length(k)).cast("long").alias("skipped"))
+
+
+@query(seq_sql("SELECT doc_id, substring(seq, 2) || left(seq, 1) AS rol, right(seq, 1) || substring(seq, 1, greatest(length(seq) - 1, 0)) AS ror, left(seq, 1) AS f, right(seq, 1) AS l, ((ascii(seq) << 3) % 256 + (ascii(seq) >> 5))::INT AS bits FROM seqs WHERE seq <> ''"))
+def rotations(spark, d):
+    seq = F.col("seq")
+    return V.seqs(spark, d).where("seq <> ''").select("doc_id", S.rol(seq).alias("rol"), S.ror(seq).alias("ror"), F.left(seq, F.lit(1)).alias("f"), F.right(seq, F.lit(1)).alias("l"), S.bit_rol(F.ascii("seq"), 3).cast("int").alias("bits"))
+
+
+@query("""WITH a AS (SELECT unnest(string_split('ACGTNRYKMSWBDVH', '')) AS s), p AS (SELECT q.s AS q, r.s AS r FROM a q, a r)
+SELECT q, r, (CASE WHEN q = r AND q = 'N' THEN 1.6 WHEN q = r THEN 2 WHEN q = 'N' OR r = 'N' THEN 1.6 WHEN (r = 'R' AND q IN ('A','G')) OR (r = 'Y' AND q IN ('C','T')) OR (r = 'K' AND q IN ('G','T'))
+OR (r = 'M' AND q IN ('A','C')) OR (r = 'S' AND q IN ('G','C')) OR (r = 'W' AND q IN ('A','T')) OR (r = 'B' AND q IN ('C','G','T')) OR (r = 'D' AND q IN ('A','G','T')) OR (r = 'V' AND q IN ('A','C','G')) THEN 2 ELSE -1 END)::DOUBLE AS score FROM p""")
+def sigma_matrix(spark, d):
+    letters = F.split(F.lit(S.ALPHABET), "")
+    pairs = spark.range(1).select(F.explode(letters).alias("q")).select("q", F.explode(letters).alias("r"))
+    return pairs.select("q", "r", S.sigma(F.col("q"), F.col("r")).alias("score"))
+
+
+# --- k-mers and patterns
+
+
+@query(seq_sql("SELECT kmer, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, length(seq) - 6), lambda i: substring(seq, i, 7))) AS kmer FROM seqs WHERE length(seq) >= 7) GROUP BY 1"))
+def kmer_freq(spark, d):
+    return kmers.kmer_freq(V.seqs(spark, d), 7)
+
+
+@query(seq_sql("""SELECT doc_id, (before + (i - 1) * 4 + 1)::BIGINT AS start, 4 AS len FROM (SELECT doc_id, i, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(seq, 'ACGA') AS p FROM seqs))) WHERE i > 0"""))
+def pattern_positions(spark, d):
+    return kmers.pattern_positions(V.seqs(spark, d), "ACGA")
+
+
+@query(seq_sql("SELECT doc_id, unnest(list_filter(generate_series(1, length(seq) - 2), lambda i: substring(seq, i, 3) = 'AAA'))::BIGINT AS start FROM seqs"))
+def pattern_overlap(spark, d):
+    return kmers.pattern_overlap(V.seqs(spark, d), "AAA")
+
+
+@query(seq_sql("SELECT doc_id, len(list_filter(generate_series(1, length(seq) - 3), lambda i: substring(seq, i, 4) = 'GATA'))::BIGINT AS n FROM seqs"))
+def pattern_count(spark, d):
+    return kmers.pattern_count(V.seqs(spark, d), "GATA")
+
+
+@query(seq_sql("SELECT doc_id, replace(seq, 'ACG', 'TT') AS seq FROM seqs"))
+def pattern_replace(spark, d):
+    return V.seqs(spark, d).select("doc_id", F.replace("seq", F.lit("ACG"), F.lit("TT")).alias("seq"))
+
+
+@query(seq_sql("SELECT doc_id, unnest(range(1, len(p) + 1))::BIGINT AS n, unnest(p)::BIGINT AS pos FROM (SELECT doc_id, list_filter(generate_series(1, length(seq)), lambda i: substring(seq, i, 1) = 'T') AS p FROM seqs)"))
+def occ_positions(spark, d):
+    return kmers.occ_positions(V.seqs(spark, d), "T")
+
+
+@query(f"{V.with_views('raws')} SELECT symbol, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(upper(raw), '[ACGT]', '', 'g'), '')) AS symbol FROM raws) WHERE symbol <> '' GROUP BY 1")
+def alphabet_audit(spark, d):
+    return kmers.alphabet_audit(V.raw_seqs(spark, d), "raw")
+
+
+@query(seq_sql("""SELECT doc_id, c::INT AS chunk, b::BIGINT AS "offset", (e - b)::BIGINT AS size, substring(seq, b + 1, e - b) AS content FROM (SELECT doc_id, seq, c, greatest(c * s - 10, 0) AS b, least((c + 1) * s, length(seq)) AS e
+FROM (SELECT *, unnest(generate_series(0, (length(seq) - 1) // s)) AS c FROM (SELECT *, greatest(length(seq) // 4, 1) AS s FROM seqs WHERE seq <> '')))"""))
+def chunk_overlap(spark, d):
+    return kmers.chunk_overlap(V.seqs(spark, d), 4, 10)
+
+
+@query("SELECT doc_id, pos::BIGINT AS pos, (coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), total + 1) - pos)::BIGINT AS len FROM (SELECT doc_id, length(text) AS total, unnest(list_filter(generate_series(1, length(text)), lambda i: substring(text, i, 1) = '.')) AS pos FROM documents)")
+def lead_extents(spark, d):
+    return kmers.lead_extents(V.table(spark, d, "documents"), "text", ".")
+
+
+@query(f"{V.with_views('chunks')} SELECT * FROM chunks")
+def contig_chunks(spark, d):
+    return V.chunks(spark, d)
+
+
+@query(f"{V.with_views('parts')} SELECT name, pos, len FROM parts WHERE name IN ('doc1', 'doc3', 'doc17', 'doc199')")
+def contig_filter(spark, d):
+    return V.parts(spark, d).where(F.col("name").isin("doc1", "doc3", "doc17", "doc199"))
+
+
+@query(seq_sql("SELECT doc_id, list_sort(list_distinct(list_filter(generate_series(1, length(seq) - 1), lambda i: substring(seq, i, 2) = 'CG')))::BIGINT[] AS starts FROM seqs"))
+def pattern_sorted_positions(spark, d):
+    return V.seqs(spark, d).select("doc_id", F.array_sort(F.array_distinct(S.overlapping_starts(F.col("seq"), "CG"))).cast("array<bigint>").alias("starts"))
+
+
+# --- suffix index, by chunk
+
+SUFFIX = f"""{V.with_views('chunks')}, t AS (SELECT doc_id, chunk, seq || '$' AS t, unnest(generate_series(1, length(seq) + 1)) AS p FROM chunks),
+x AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY substring(t, p)) AS row, substring(t, p, 1) AS f, CASE WHEN p > 1 THEN substring(t, p - 1, 1) ELSE '$' END AS l, p - 1 AS sa FROM t)"""
+RANKED = f"{SUFFIX}, y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk, l ORDER BY row) AS il, row_number() OVER (PARTITION BY doc_id, chunk, f ORDER BY row) AS if_ FROM x), z AS (SELECT a.doc_id, a.chunk, a.row, a.f, a.l, b.row AS ptr, a.sa FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND a.l = b.f AND a.il = b.if_)"
+
+
+@query(f"{SUFFIX} SELECT doc_id, chunk, row, sa FROM x")
+def suffix_array(spark, d):
+    return X.suffix_rows(V.chunks(spark, d)).select("doc_id", "chunk", "row", "sa")
+
+
+@query(f"{SUFFIX} SELECT doc_id, chunk, row, f, l FROM x")
+def bwt_l_column(spark, d):
+    return X.suffix_rows(V.chunks(spark, d)).select("doc_id", "chunk", "row", "f", "l")
+
+
+@query(f"{SUFFIX} SELECT doc_id, chunk, string_agg(l, '' ORDER BY row) AS bwt FROM x GROUP BY 1, 2")
+def bwt_transform(spark, d):
+    return X.bwt_transform(X.suffix_rows(V.chunks(spark, d)))
+
+
+@query(f"{RANKED} SELECT doc_id, chunk, row, ptr FROM z")
+def lf_mapping(spark, d):
+    return X.lf_mapping(X.suffix_rows(V.chunks(spark, d)))
+
+
+@query(f"{RANKED} SELECT doc_id, chunk, row, f, l, ptr, sa FROM z")
+def fm_index(spark, d):
+    return X.fm_index(X.suffix_rows(V.chunks(spark, d)))
+
+
+@query(f"{SUFFIX} SELECT doc_id, chunk, min(row) FILTER (f = 'C') AS pc, min(row) FILTER (f = 'G') AS pg, min(row) FILTER (f = 'T') AS pt, max(row) AS last FROM x GROUP BY 1, 2")
+def fm_pointers(spark, d):
+    return X.fm_pointers(X.suffix_rows(V.chunks(spark, d)))
+
+
+@query(f"{RANKED} SELECT doc_id, chunk, min(ptr) AS sp, max(ptr) AS ep FROM z WHERE f = 'A' AND l = 'C' GROUP BY 1, 2")
+def fm_step(spark, d):
+    return X.fm_step(X.fm_index(X.suffix_rows(V.chunks(spark, d))), "A", "C")
+
+
+@query(f"{V.with_views('chunks')} SELECT doc_id, chunk, seq FROM chunks")
+def inverse_bwt(spark, d):
+    return X.inverse_bwt(X.bwt_transform(X.suffix_rows(V.chunks(spark, d))))
+
+
+@query()
+def prefix_doubling(spark, d):
+    return X.prefix_doubling(V.seqs(spark, d))
+
+
+# --- search, clusters, geometry
+
+
+@query(f"{V.with_views('reads')} SELECT read_id, w::INT AS w, (8 * w)::BIGINT AS shift, right(left(seq, length(seq) - 8 * w), 15) AS tail, length(right(left(seq, length(seq) - 8 * w), 15))::INT AS lim FROM (SELECT *, unnest(generate_series(0, (length(seq) - 8) // 8)) AS w FROM reads)")
+def read_windows(spark, d):
+    return search.read_windows(V.reads(spark, d))
+
+
+@query()
+def seed_search(spark, d):
+    return search.seed_search(search.read_windows(V.reads(spark, d)), search.ref_ends(V.seqs(spark, d)))
+
+
+@query(f"""{V.with_views('hits')}, s AS (SELECT key, w, p, sum(n) OVER (PARTITION BY key ORDER BY p ROWS UNBOUNDED PRECEDING) AS sid FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY key ORDER BY p) > 20 THEN 1 ELSE 0 END AS n FROM hits)),
+q AS (SELECT key, count(DISTINCT w) AS qty FROM hits GROUP BY 1)
+SELECT key, max(p) AS pos, max(p) - min(p) AS dist, count(*) AS n FROM s JOIN q USING (key) GROUP BY key, sid, qty HAVING count(*) >= 2 + qty // 7""")
+def seed_cluster(spark, d):
+    return clusters.seed_cluster(V.hits(spark, d), ["key"])
+
+
+@query(f"""{V.with_views('reads')}, c AS (SELECT read_id, doc_id, start - 1 + length(seq) + read_id % 7 - 3 AS pos, length(seq) + read_id % 21 AS n FROM reads)
+SELECT read_id, (pos - n + 1)::BIGINT AS window_pos, substring(repeat('N', 200) || seq || repeat('N', 200), (pos - n + 201)::INT, n::INT) AS ref_window FROM c JOIN seqs USING (doc_id)""")
+def candidate_slice(spark, d):
+    pos = F.col("start") - 1 + F.length("seq") + F.col("read_id") % 7 - 3
+    c = V.reads(spark, d).select("read_id", "doc_id", pos.alias("pos"), (F.length("seq") + F.col("read_id") % 21).alias("n"))
+    both = c.join(V.seqs(spark, d), "doc_id")
+    return both.select("read_id", (F.col("pos") - F.col("n") + 1).alias("window_pos"), clusters.candidate_slice(F.col("seq"), F.col("pos"), F.col("n"), 200).alias("ref_window"))
+
+
+@query(f"""{V.with_views('parts')}, e AS (SELECT event_id AS id, (event_id * 7919) % 20000000 AS pos FROM events), j AS (SELECT e.id, min_by(struct_pack(n := name, p := p.pos), p.pos) AS b FROM e JOIN parts p ON e.pos BETWEEN p.pos AND p.pos + p.len GROUP BY 1)
+SELECT e.id, e.pos, b.n AS name, (e.pos - b.p - (e.pos - b.p) // 61)::BIGINT AS base FROM e LEFT JOIN j USING (id)""")
+def part_lookup(spark, d):
+    points = V.table(spark, d, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") * 7919) % 20000000).alias("pos"))
+    return ranges.part_lookup(points, V.parts(spark, d))
+
+
+@query(f"{V.with_views('parts')} SELECT sum(len)::BIGINT AS total, 8 AS nodes, (sum(len) // 8)::BIGINT AS average FROM parts")
+def avg_workload(spark, d):
+    total = F.sum("len")
+    return V.parts(spark, d).agg(total.alias("total"), F.lit(8).alias("nodes"), F.floor(total / 8).cast("long").alias("average"))
+
+
+@query(f"""{V.with_views('parts')}, p AS (SELECT *, CASE WHEN len < 1500 THEN 0 ELSE floor((len - 1500) / 900)::INT + 1 END AS n FROM parts), q AS (SELECT *, unnest(generate_series(0, n)) AS piece FROM p),
+r AS (SELECT name, piece::INT AS piece, (pos + piece * 900)::BIGINT AS start, (CASE WHEN piece < n THEN 1000 ELSE len - piece * 900 END)::BIGINT AS size FROM q)
+SELECT *, floor((sum(size) OVER (ORDER BY start) - size) / greatest((SELECT sum(len) // 8 FROM parts), 1))::BIGINT AS node FROM r""")
+def schedule_parts(spark, d):
+    return ranges.schedule(V.parts(spark, d), 8, 1000)
+
+
+@query("SELECT min(x) AS first, max(x) AS last, count(*) AS n FROM (SELECT x, x - row_number() OVER (ORDER BY x) AS g FROM (SELECT DISTINCT doc_id AS x FROM labels)) GROUP BY g")
+def int_runs(spark, d):
+    return ranges.int_runs(V.table(spark, d, "labels"), "doc_id")
+
+
+# --- alignment and reports
+
+PAIRS_SQL = """WITH RECURSIVE m AS (SELECT n_nationkey AS k, n_regionkey AS g, translate(upper(n_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACN') AS s FROM nation),
+p AS (SELECT a.k AS qk, b.k AS rk, a.s AS q, b.s || a.s AS r FROM m a JOIN m b ON a.g = b.g),
+d AS (SELECT qk, rk, q, r, 0 AS n, list_transform(range(length(r) + 1), lambda x: 0.0::DOUBLE) AS pv, list_transform(range(length(r) + 1), lambda x: '-') AS pd, [-2.0::DOUBLE] AS cv, ['u'] AS cd FROM p
+UNION ALL SELECT qk, rk, q, r, n + 1, CASE WHEN full_ THEN nv ELSE pv END, CASE WHEN full_ THEN nd ELSE pd END, CASE WHEN full_ THEN [nv[1] - 1] ELSE nv END, CASE WHEN full_ THEN ['u'] ELSE nd END FROM (
+ SELECT *, list_append(cv, greatest(ul, l, u)) AS nv, list_append(cd, CASE WHEN ul >= l AND ul >= u THEN 'd' WHEN u >= l THEN 'u' ELSE 'l' END) AS nd, j = length(r) AS full_ FROM (
+  SELECT *, pv[j] + CASE WHEN a = b AND a = 'N' THEN 1.6 WHEN a = b THEN 2 WHEN a = 'N' OR b = 'N' THEN 1.6 ELSE -1 END AS ul, cv[j] + CASE WHEN cd[j] = 'l' THEN -1 ELSE -2 END AS l, pv[j + 1] + CASE WHEN pd[j + 1] = 'u' THEN -1 ELSE -2 END AS u FROM (
+   SELECT *, n % length(r) + 1 AS j, substring(q, (n // length(r) + 1)::INT, 1) AS a, substring(r, (n % length(r) + 1)::INT, 1) AS b FROM d WHERE n < length(q) * length(r)))))
+SELECT qk, rk, CASE WHEN list_max(pv) >= 2 * ceil(length(q) / 2.0) THEN trunc(list_max(pv))::INT END AS score FROM d WHERE n = length(q) * length(r)"""
+
+
+def name_pairs(spark, d) -> DataFrame:
+    """Short pairs: nations of one region, their names as bases; the reference ends with the query."""
+    s = F.translate(F.upper("n_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACN")
+    m = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("g"), s.alias("s"))
+    a, b = m.alias("a"), m.alias("b")
+    return a.join(b, F.col("a.g") == F.col("b.g")).select(F.col("a.k").alias("qk"), F.col("b.k").alias("rk"), F.col("a.s").alias("q"), F.concat("b.s", "a.s").alias("r"))
+
+
+@query(PAIRS_SQL)
+def sw_align(spark, d):
+    return name_pairs(spark, d).select("qk", "rk", align(F.col("q"), F.col("r"))["score"].alias("score"))
+
+
+@query()
+def sw_cigar(spark, d):
+    return name_pairs(spark, d).withColumn("x", align(F.col("q"), F.col("r"))).select("qk", "rk", "x.score", "x.cigar", "x.ref_start", "x.ref_end")
+
+
+@query()
+def align_pretty_print(spark, d):
+    return name_pairs(spark, d).withColumn("x", align_pretty(F.col("q"), F.col("r"))).select("qk", "rk", "x.query", "x.bars", "x.ref")
+
+
+@query()
+def align_e2e(spark, d):
+    return align_reads(V.reads(spark, d).select("read_id", "seq"), V.seqs(spark, d), SHORT)
+
+
+@query()
+def stream_align(spark, d):
+    path = T.scratch(spark, "reads")
+    V.reads(spark, d).select("read_id", "seq").repartition(4).write.parquet(path)
+    return stream(spark, path, V.seqs(spark, d), SHORT).drop("batch")
+
+
+@query("SELECT key, score, pos FROM (SELECT user_id AS key, floor(value * 10)::BIGINT AS score, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY floor(value * 10) DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def best_hit(spark, d):
+    return clusters.best_hit(scored(spark, d), "key")
+
+
+def scored(spark, d) -> DataFrame:
+    return V.table(spark, d, "events").select(F.col("user_id").alias("key"), F.floor(F.col("value") * 10).cast("long").alias("score"), F.col("event_id").alias("pos"))
+
+
+@query("SELECT user_id AS key, floor(value * 10)::BIGINT AS score, event_id AS pos FROM events WHERE floor(value * 10) >= 265")
+def score_filter(spark, d):
+    return clusters.score_filter(scored(spark, d))
+
+
+@query("SELECT count(*) AS n_union, count(*) FILTER (b IS NULL) AS n_only_a, count(*) FILTER (a IS NULL) AS n_only_b FROM (SELECT DISTINCT doc_id AS a FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS b FROM labels) ON a = b")
+def diff_counts(spark, d):
+    return compare.diff_counts(V.table(spark, d, "documents"), V.table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'b' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def diff_anti(spark, d):
+    return compare.diff_anti(V.table(spark, d, "documents"), V.table(spark, d, "labels"), "doc_id")
+
+
+@query(seq_sql("SELECT doc_id, n_chars AS score, substring(seq, 1, 80) AS shown FROM documents JOIN seqs USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY n_chars DESC, doc_id LIMIT 10"))
+def diff_top10(spark, d):
+    docs = V.table(spark, d, "documents")
+    top = docs.join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").orderBy(F.desc("n_chars"), "doc_id").limit(10)
+    return top.select("doc_id", F.col("n_chars").alias("score"), F.substring(S.letters_to_bases(F.col("text")), 1, 80).alias("shown"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY 1")
+def last_wins(spark, d):
+    return compare.last_wins(V.table(spark, d, "events"), "user_id", "event_id", "event_type", "value")
+
+
+@query(seq_sql("SELECT doc_id, seq FROM seqs JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)"))
+def read_lookup(spark, d):
+    return V.seqs(spark, d).join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"{V.with_views('reads')} SELECT count(*) AS reads_dispatched, count(DISTINCT doc_id) AS contigs, sum(length(seq))::BIGINT AS bases, 8 AS workers FROM reads")
+def run_report(spark, d):
+    return V.reads(spark, d).agg(F.count("*").alias("reads_dispatched"), F.count_distinct("doc_id").alias("contigs"), F.sum(F.length("seq")).alias("bases"), F.lit(8).alias("workers"))
+
+
+@query("SELECT i // 2000 AS workload, i // 200 AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY 1, 2")
+def read_batches(spark, d):
+    at = ranges.running_start(V.table(spark, d, "events").select("event_id", F.lit(1).alias("one")), "event_id", "one", "i")
+    at = at.select("event_id", F.floor(F.col("i") / 2000).alias("workload"), F.floor(F.col("i") / 200).alias("batch"))
+    return at.groupBy("workload", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query()
+def fuzzy_seed(spark, d):
+    return V.seqs(spark, d).select("doc_id", F.explode(fuzzy.fuzzy_starts(F.col("seq"), "ACGATACCA", 8, 1).cast("array<bigint>")).alias("start"))
+
+
+# --- files: written from the tables, read back
+
+
+def written(df: DataFrame, name: str) -> str:
+    path = T.scratch(df.sparkSession, name)
+    df.write.text(path)
+    return path
+
+
+def fasta_file(spark, d, one: bool = False) -> str:
+    docs = V.table(spark, d, "documents").select("doc_id", "source", S.letters_to_bases(F.col("text")).alias("seq"))
+    docs = docs.orderBy("doc_id").coalesce(1) if one else docs
+    return written(T.fasta_records(docs, F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("source"), F.col("seq")), "fasta")
+
+
+@query("SELECT 'doc' || doc_id AS name, source AS description, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS body FROM documents")
+def fasta_scan(spark, d):
+    return T.fasta_scan(spark, fasta_file(spark, d))
+
+
+@query("""WITH s AS (SELECT doc_id, length('>doc' || doc_id || ' ' || source) + 1 AS h, length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')) AS n FROM documents),
+b AS (SELECT doc_id, h, CASE WHEN n > 0 THEN n + (n + 59) // 60 ELSE 0 END AS len FROM s)
+SELECT 'doc' || doc_id AS name, (sum(h + len) OVER (ORDER BY doc_id) - len)::BIGINT AS pos, len::BIGINT AS len FROM b""")
+def fasta_index(spark, d):
+    return T.fasta_index(spark, fasta_file(spark, d, one=True)).drop("file")
+
+
+@query(f"{V.with_views('reads')} SELECT 'r' || read_id AS name, seq FROM reads")
+def fastq_scan(spark, d):
+    name, seq = F.concat(F.lit("r"), F.col("read_id").cast("string")), F.col("seq")
+    rec = V.reads(spark, d).select(F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq"))).alias("value"))
+    return T.fastq_scan(spark, written(rec, "fastq"))
+
+
+@query("SELECT user_id::VARCHAR AS name, max(event_id)::INT AS pos, '8M' AS cigar, max_by(event_type, event_id) AS seq FROM events GROUP BY 1")
+def sam_scan(spark, d):
+    ev = V.table(spark, d, "events").orderBy("event_id").coalesce(1)
+    rows = ev.select(F.concat_ws("\t", F.col("user_id").cast("string"), F.lit("0"), F.lit("chr"), F.col("event_id").cast("string"), F.lit("60"), F.lit("8M"), F.lit("*"), F.lit("0"), F.lit("0"), "event_type", F.lit("IIII")).alias("value"))
+    return T.sam_scan(spark, written(spark.range(1).select(F.lit("@HD\tVN:1.6").alias("value")).unionAll(rows).coalesce(1), "sam"))
+
+
+@query("SELECT user_id::VARCHAR AS name, max(event_id)::INT AS pos, '8M' AS cigar, max_by(floor(value * 10)::INT, event_id) AS score, max_by(event_type, event_id) AS ref FROM events GROUP BY 1")
+def hits_scan(spark, d):
+    ev = V.table(spark, d, "events").orderBy("event_id").coalesce(1)
+    rows = ev.select(F.concat_ws(" ", F.col("user_id").cast("string"), F.lit("x"), F.lit("y"), F.col("event_id").cast("string"), F.lit("8M"), F.floor(F.col("value") * 10).cast("string"), "event_type").alias("value"))
+    return T.hits_scan(spark, written(rows, "hits"))
+
+
+@query(f"{V.with_views('parts')} SELECT name, pos, len FROM parts")
+def index_scan(spark, d):
+    path = T.scratch(spark, "index")
+    V.parts(spark, d).write.csv(path, sep=" ")
+    return T.index_scan(spark, path)

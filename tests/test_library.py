@@ -1,0 +1,126 @@
+"""Operators on small fixtures, and properties that hold for any input."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from strandloom.functions import fuzzy
+from strandloom.functions import sequence as S
+from strandloom.operators import clusters, compare, kmers, ranges
+from strandloom.operators import suffix_index as X
+from strandloom.params import Params
+from strandloom.plans.align import align_reads
+from strandloom.plans.views import contig_chunks
+from strandloom.sources import text as T
+from strandloom.streaming.align_stream import stream_align
+
+
+def seqs(spark, *s):
+    return spark.createDataFrame(list(enumerate(s)), "doc_id long, seq string")
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([("ACGTN",), ("",), ("NNACGNTNN",), ("BDRYKMSWVN",)], "s string")
+    s = F.col("s")
+    trimmed, shift = S.trim_n(s)
+    got = df.select(S.reverse_complement(S.reverse_complement(s)).alias("twice"), trimmed.alias("t"), shift.alias("k"), S.resolve(s).alias("r"), S.ror(S.rol(s)).alias("turn")).collect()
+    assert [r.twice for r in got] == ["ACGTN", "", "NNACGNTNN", "BDRYKMSWVN"] and [r.turn for r in got] == [r.twice for r in got]
+    assert [(r.t, r.k) for r in got][2] == ("ACGNT", 2) and got[3].r == "CGACTACAAC" and got[0].r == "ACGTA"
+
+
+def test_kmers_and_patterns(spark):
+    df = seqs(spark, "AAAAA", "AC", "", "ACGACGA")
+    assert {r.kmer: r.n for r in kmers.kmer_freq(df, 3).collect()} == {"AAA": 3, "ACG": 2, "CGA": 2, "GAC": 1}
+    assert sorted((r.doc_id, r.start) for r in kmers.pattern_positions(df, "AA").collect()) == [(0, 1), (0, 3)]
+    assert sorted((r.doc_id, r.start) for r in kmers.pattern_overlap(df, "AA").collect()) == [(0, 1), (0, 2), (0, 3), (0, 4)]
+    pieces = kmers.chunk_overlap(df, 3, 1).where("doc_id = 3").orderBy("chunk").collect()
+    assert "".join(r.content[(1 if i else 0) :] for i, r in enumerate(pieces)) == "ACGACGA"
+
+
+def test_chunks_lose_no_base(spark):
+    rnd = random.Random(1)
+    s = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (1, 15, 16, 17, 100, 333)]
+    for doc, text in enumerate(s):
+        rows = contig_chunks(seqs(spark, *s), 16).where(F.col("doc_id") == doc).orderBy("chunk").collect()
+        made = rows[0].seq
+        for r in rows[1:]:
+            assert text[r["shift"] - 1 :].startswith(r.seq)
+            made = made[: r["shift"] - 1] + r.seq
+        assert made == text
+
+
+def test_index_properties(spark):
+    rnd = random.Random(2)
+    s = ["".join(rnd.choice("ACGT") for _ in range(60)), "AAAA", "A", "ACACACAC"]
+    chunks = seqs(spark, *s).withColumn("chunk", F.lit(1))
+    rows = X.suffix_rows(chunks)
+    for doc, text in enumerate(s):
+        own = rows.where(F.col("doc_id") == doc).orderBy("row").collect()
+        assert [r.sa for r in own] == sorted(range(len(text) + 1), key=lambda i: (text + "$")[i:])
+        lf = X.lf_mapping(rows).where(F.col("doc_id") == doc).collect()
+        assert sorted(r.ptr for r in lf) == list(range(1, len(text) + 2))
+        assert [r.sa for r in X.prefix_doubling(seqs(spark, *s)).where(F.col("doc_id") == doc).orderBy("row").collect()] == [r.sa for r in own]
+    assert {r.doc_id: r.seq for r in X.inverse_bwt(X.bwt_transform(rows)).collect()} == dict(enumerate(s))
+    assert X.suffix_ranks(np.zeros(0, np.uint8)).tolist() == []
+
+
+def test_clusters_gap_is_inclusive(spark):
+    p = [(1, w, x) for w, x in enumerate([100, 120, 141, 161, 300, 300])]
+    got = clusters.seed_cluster(spark.createDataFrame(p, "key long, w long, p long"), ["key"]).collect()
+    assert sorted((r.pos, r.dist, r.n) for r in got) == [(120, 20, 2), (161, 20, 2), (300, 0, 2)]
+
+
+def test_ranges(spark):
+    runs = ranges.int_runs(spark.createDataFrame([(x,) for x in [1, 2, 2, 3, 7, 9, 10, 15, 16, 17, None]], "x long"), "x", span=4)
+    assert sorted((r["first"], r["last"], r.n) for r in runs.collect()) == [(1, 3, 3), (7, 7, 1), (9, 10, 2), (15, 17, 3)]
+    parts = spark.createDataFrame([("a", 0, 100), ("b", 100, 50), ("c", 400, 10)], "name string, pos long, len long")
+    points = spark.createDataFrame([(i, x) for i, x in enumerate([0, 61, 100, 101, 150, 151, 410, 411])], "id long, pos long")
+    got = {r.pos: (r.name, r.base) for r in ranges.part_lookup(points, parts, span=16).collect()}
+    assert got == {0: ("a", 0), 61: ("a", 60), 100: ("a", 99), 101: ("b", 1), 150: ("b", 50), 151: (None, None), 410: ("c", 10), 411: (None, None)}
+
+
+def test_compare(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (2,)], "id long"), spark.createDataFrame([(2,), (3,)], "id long")
+    assert compare.diff_counts(a, b, "id").first() == (3, 1, 1)
+    assert sorted(map(tuple, compare.diff_anti(a, b, "id").collect())) == [(1, "a"), (3, "b")]
+
+
+def test_fuzzy_patterns():
+    assert fuzzy.patterns("ACGT", 4, 0) == ["ACGT"]
+    one = fuzzy.patterns("ACGTA", 4, 1)
+    assert {"ACGT", ".CGT", "ACG.", "CGTA", "AGTA"} <= set(one) and all(len(p) == 4 for p in one)
+
+
+def test_sources(spark, tmp_path):
+    fasta = tmp_path / "g.fa"
+    fasta.write_text(">1 first one\nACGT\nAC\n>2\nNNN\n>3 x\n\n>4 last\nA")
+    got = {r.name: (r.description, r.body) for r in T.fasta_scan(spark, str(fasta)).collect()}
+    assert got == {"1": ("first one", "ACGTAC"), "2": ("", "NNN"), "3": ("x", ""), "4": ("last", "A")}
+    assert [r.name for r in T.fasta_scan(spark, str(fasta), ["4"]).collect()] == ["4"]
+    raw = fasta.read_bytes()
+    for r in T.fasta_index(spark, str(fasta)).collect():
+        assert raw[r.pos : r.pos + r.len].replace(b"\n", b"").decode() == got[r.name][1]
+    fq = tmp_path / "r.fq"
+    fq.write_text("".join(f"@r{i} x\n{'ACGT' * (i % 3 + 1)}\n+\n@III\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)  # splits in the middle of records
+    try:
+        got = {r.name: r.seq for r in T.fastq_scan(spark, str(fq)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"r{i} x": "ACGT" * (i % 3 + 1) for i in range(500)}
+    sam = tmp_path / "x.sam"
+    sam.write_text("@HD\tVN\nn 0 c 5 60 4M * 0 0 ACGT IIII\nn\t0\tc\t9\t60\t3M\t*\t0\t0\tACG\tIII\n")
+    assert [tuple(r) for r in T.sam_scan(spark, str(sam)).collect()] == [("n", 9, "3M", "ACG")]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rnd = random.Random(5)
+    ref = "".join(rnd.choice("ACGT") for _ in range(60_000))
+    reads = spark.createDataFrame([(i, ref[a : a + 120]) for i, a in enumerate(rnd.randint(0, 59_000) for _ in range(40))], "read_id long, seq string")
+    path = str(tmp_path / "reads")
+    reads.repartition(5).write.parquet(path)
+    contigs, p = seqs(spark, ref), Params(min_score=200)
+    stream = stream_align(spark, path, contigs, p).drop("batch")
+    batch = align_reads(reads, contigs, p)
+    assert sorted(map(tuple, stream.select(batch.columns).collect())) == sorted(map(tuple, batch.collect())) and batch.count() >= 38
