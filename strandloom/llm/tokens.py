@@ -1,14 +1,16 @@
 """Tokenising with a public vocabulary file, memoised by the unit that the vocabulary never merges across.
 
-Both public BPE files split a text into pieces before merging, and no piece crosses the end of a run of
-non-space characters. So the ids of a text are the ids of its units joined, and a unit seen before costs a
-dictionary lookup instead of a BPE run. The library still produces every id.
+Both public BPE files split a text into pieces before merging: runs of letters, of digits, of other characters, with
+some care for apostrophes and white space. So the ids of a text are the ids of its pieces joined, and a piece seen
+before costs a dictionary lookup instead of a BPE run. The library still produces every id.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
+from array import array
 from collections.abc import Iterable
 from itertools import islice
 
@@ -22,71 +24,157 @@ WORD_FILE = "word_bpe_49k.json"
 BYTE_FILE = "byte_bpe_50k.json"
 
 
+class Recent:
+    """Ids of units met lately, in two generations of about `limit` units: the old one goes when the new one is full."""
+
+    def __init__(self, limit: int):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.limit = limit
+
+    def fetch(self, units: set) -> list:
+        """Moves what the old generation knows to the new one; returns the units that neither knows."""
+        units = units.difference(self.new)
+        known = {u: self.old[u] for u in units if u in self.old}
+        self.new.update(known)
+        return [u for u in units if u not in known]
+
+    def trim(self) -> None:
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """texts -> their ids, each as little-endian unsigned 32-bit integers in bytes. None counts as empty.
 
-    memo: unit -> ids, at most `limit` units; the oldest half goes when it is full.
+    A fresh unit that is one piece goes straight to the vocabulary's model, any other through the whole library.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, together: int = 256):
-        self.model = Tokenizer.from_file(path)
-        self.memo: dict = {}
-        self.limit, self.together = limit, together
-
-    def units(self, text: str) -> list | None:
+    alphabet = byte_letters()
+
+    def __init__(self, path: str, limit: int = 300_000, together: int = 512):
+        self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
+        self.seen = Recent(limit)
+        self.together = together
+        self.letters = set(map(chr, range(128)))  # ASCII, and other characters found to be letters
+
+    def plain(self, text: str) -> bool:
+        """Are all characters beyond ASCII letters?"""
+        if text.isascii():
+            return True
+        odd = set(text) - self.letters
+        if odd and all(map(str.isalpha, odd)):
+            self.letters |= odd
+            return True
+        return not odd
+
+    def units(self, text: str) -> list[bytes] | None:
         """The text's units, or None if it must be encoded whole."""
         raise NotImplementedError
 
-    def as_text(self, unit) -> str:
+    def piece(self, unit: bytes) -> str | None:
+        """The unit as one piece in the byte-level alphabet, or None if it is not one piece."""
         raise NotImplementedError
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def as_text(self, unit: bytes) -> str:
+        return unit.decode()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_unit(self, unit: bytes) -> bytes:
+        piece = self.piece(unit)
+        if piece is None:
+            return self.whole(self.as_text(unit))
+        return array("I", [t.id for t in self.merge(piece)]).tobytes()
 
     def __call__(self, texts: Iterable[str | None]) -> Iterable[bytes]:
         texts = iter(texts)
         while group := list(islice(texts, self.together)):
-            cut = [self.units(t) if t else [] for t in group]
-            fresh = list(set().union(*(u for u in cut if u)).difference(self.memo))
-            self.memo.update(zip(fresh, self.whole([self.as_text(u) for u in fresh])))
-            for text, units in zip(group, cut):
-                yield self.whole([text])[0] if units is None else b"".join(map(self.memo.__getitem__, units))
+            known, cut, fresh = self.seen.new, [], set()
+            for text in group:
+                units = self.units(text) if text else []
+                ids = list(map(known.get, units)) if units else []
+                if None in ids:
+                    fresh.update([u for u, x in zip(units, ids) if x is None])
+                cut.append((units, ids))
+            fresh = self.seen.fetch(fresh)
+            known.update(zip(fresh, map(self.encode_unit, fresh)))
+            for text, (units, ids) in zip(group, cut):
+                if units is None:
+                    yield self.whole(text)
+                elif None in ids:
+                    yield b"".join([known[u] if x is None else x for u, x in zip(units, ids)])
+                else:
+                    yield b"".join(ids)
             for u in fresh:
                 if len(u) > 64:
-                    del self.memo[u]
-            if len(self.memo) > self.limit:
-                for u in list(islice(self.memo, len(self.memo) - self.limit // 2)):
-                    del self.memo[u]
+                    del known[u]
+            self.seen.trim()
 
 
 class WordEncoder(Encoder):
-    """For a vocabulary that drops white space: units are runs of bytes other than ASCII white space."""
+    """For a vocabulary that lowers letters and drops white space.
+
+    Units are runs of letters, of digits and of other characters; white-space-delimited runs where they hold an
+    apostrophe, and, after a space, in texts with a character beyond ASCII that is no letter or a likely special token.
+    """
+
+    runs = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^a-z0-9\x80-\xff\s]+").findall
+    quoted = re.compile(rb"[^\s']*'[^\s]*|[a-z\x80-\xff]+|[0-9]+|[^a-z0-9\x80-\xff\s]+").findall
 
     def units(self, text):
-        return text.encode().split()
+        if "<|" in text or not self.plain(text):
+            return [b" " + u for u in text.encode().split()]
+        return (self.quoted if "'" in text else self.runs)(text.encode().lower())
 
     def as_text(self, unit):
-        return unit.decode()
+        return unit.decode().removeprefix(" ")
+
+    def piece(self, unit):
+        if unit.isalpha():
+            return unit.decode()
+        if unit[:1] == b" " or unit.isdigit() or b"'" in unit:
+            return None
+        if unit[0] > 127 or unit[-1] > 127 or not unit.isascii():
+            text = self.library.normalizer.normalize_str(unit.decode())
+            if not text.isalpha():
+                return None
+            unit = text.encode()
+        return unit.decode("latin-1").translate(self.alphabet)
 
 
 class ByteEncoder(Encoder):
-    """For a byte-level vocabulary that keeps white space.
+    """For a byte-level vocabulary that keeps white space and joins a space to what follows.
 
-    Where every white-space character of a text is a lone space or line feed between two other characters, the
-    units are the first word, each " word" and each "\\nword". Any other text goes to the library whole.
+    A text goes to the library whole if white space but a line feed or a space before something else, or a character
+    beyond ASCII that is no letter, or what may be a special token stands in it.
     """
 
+    runs = re.compile(rb" ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^A-Za-z0-9\x80-\xff\s]+|\n").findall
+    quoted = re.compile(rb" ?[^\s']*'[^\s]*| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^A-Za-z0-9\x80-\xff\s]+|\n").findall
+
     def units(self, text):
-        words, seps = text.split(), text.count(" ") + text.count("\n")
-        if "\0" in text or len(words) != seps + 1 or len(text) - len("".join(words)) != seps:
+        if "<|" in text or "\n\n" in text or not self.plain(text):
             return None
-        return ("\0" + text.replace("\n", " \n")).split(" ")
+        raw = text.encode()
+        units = (self.quoted if "'" in text else self.runs)(raw)
+        return units if len(b"".join(units)) == len(raw) else None  # else white space that no unit takes
 
-    def as_text(self, unit):
-        return unit[1:] if unit[0] == "\0" else unit if unit[0] == "\n" else " " + unit
+    def piece(self, unit):
+        return None if b"'" in unit else unit.decode("latin-1").translate(self.alphabet)
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(name: str, path: str | None = None) -> Encoder:
     """One encoder for each Python worker and vocabulary file; path overrides the place of the public file."""
-    return (WordEncoder if name.startswith("word") else ByteEncoder)(path or public_tokenizers.path(name))
+    path = path or public_tokenizers.path(name)
+    return WordEncoder(path) if name.startswith("word") else ByteEncoder(path)
