@@ -116,7 +116,8 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = tokens.WO
 
     rows = docs.mapInPandas(ids, "shard long, doc_id long, n long, ids binary")
     rows = rows.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", F.crc32("ids"), "n")
-    rows.mapInPandas(pack, CHUNKS).write.option("compression", "uncompressed").parquet(path)
+    with _io.small_batches(docs.sparkSession):
+        rows.mapInPandas(pack, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, *, digest: bool = False) -> DataFrame:

@@ -113,7 +113,8 @@ def cut(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: str = tokens.B
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces (length and any identifying columns; doc_id, piece order them)."""
-    pieces = _io.stored(pieces, "pieces")  # ranks below need one fixed set of rows
+    with _io.small_batches(pieces.sparkSession):
+        pieces = _io.stored(pieces, "pieces")  # ranks below need one fixed set of rows
     salts = max(1, -(-pieces.count() // salt_rows))
     pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
