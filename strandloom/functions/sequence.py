@@ -73,14 +73,14 @@ def sigma(q: Column, r: Column) -> Column:
     return F.when(q == r, F.when(q == "N", 1.6).otherwise(2.0)).when((q == "N") | (r == "N"), 1.6).when(stands, 2.0).otherwise(-1.0)
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All substrings of length k, in order; none for shorter sequences."""
-    starts = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    return F.when(F.length(seq) >= k, F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def kmers(raw: Column, k: int) -> Column:
+    """All substrings of length k of a binary column, in order; none for shorter ones. Binary, because a place in a string is found by counting characters from its start, and in bytes at once."""
+    starts = F.sequence(F.lit(1), F.octet_length(raw) - (k - 1))
+    return F.when(F.octet_length(raw) >= k, F.transform(starts, lambda i: F.substring(raw, i, F.lit(k)))).otherwise(F.array().cast("array<binary>"))
 
 
-def overlapping_starts(seq: Column, pattern: str) -> Column:
-    """1-based starts of all matches, overlapping ones too."""
-    k = len(pattern)
-    starts = F.sequence(F.lit(1), F.length(seq) - (k - 1))
-    return F.when(F.length(seq) >= k, F.filter(starts, lambda i: F.substring(seq, i, F.lit(k)) == pattern)).otherwise(F.array().cast("array<int>"))
+def overlapping_starts(raw: Column, pattern: str) -> Column:
+    """1-based starts of all matches in a binary column, overlapping ones too."""
+    k, wanted = len(pattern), F.lit(pattern).cast("binary")
+    starts = F.sequence(F.lit(1), F.octet_length(raw) - (k - 1))
+    return F.when(F.octet_length(raw) >= k, F.filter(starts, lambda i: F.substring(raw, i, F.lit(k)) == wanted)).otherwise(F.array().cast("array<int>"))

@@ -11,7 +11,15 @@ from strandloom.functions import sequence as S
 def kmer_freq(seqs: DataFrame, k: int = 7, share: float = 1.0) -> DataFrame:
     """kmer, n over the first `share` of each sequence."""
     seq = F.col("seq") if share >= 1 else F.substring(F.col("seq"), F.lit(1), F.floor(F.length("seq") * share).cast("int"))
-    return seqs.select(F.explode(S.kmers(seq, k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    raw = seqs.select(seq.cast("binary").alias("raw"))
+    counts = raw.select(F.explode(S.kmers(F.col("raw"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return counts.select(F.col("kmer").cast("string").alias("kmer"), "n")
+
+
+def with_starts(seqs: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, starts: 1-based starts of all matches, overlapping ones too."""
+    raw = seqs.select("doc_id", F.col("seq").cast("binary").alias("raw"))
+    return raw.select("doc_id", S.overlapping_starts(F.col("raw"), pattern).cast("array<bigint>").alias("starts"))
 
 
 def pattern_positions(seqs: DataFrame, pattern: str) -> DataFrame:
@@ -22,17 +30,17 @@ def pattern_positions(seqs: DataFrame, pattern: str) -> DataFrame:
 
 
 def pattern_overlap(seqs: DataFrame, pattern: str) -> DataFrame:
-    return seqs.select("doc_id", F.explode(S.overlapping_starts(F.col("seq"), pattern).cast("array<bigint>")).alias("start"))
+    return with_starts(seqs, pattern).select("doc_id", F.explode("starts").alias("start"))
 
 
 def pattern_count(seqs: DataFrame, pattern: str) -> DataFrame:
-    return seqs.select("doc_id", F.size(S.overlapping_starts(F.col("seq"), pattern)).cast("long").alias("n"))
+    return with_starts(seqs, pattern).select("doc_id", F.size("starts").cast("long").alias("n"))
 
 
 def occ_positions(seqs: DataFrame, symbol: str) -> DataFrame:
     """The n-th occurrence (from 1) of a symbol and its place (from 1)."""
-    at = S.overlapping_starts(F.col("seq"), symbol)
-    return seqs.select("doc_id", F.posexplode(at).alias("n", "pos")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    at = with_starts(seqs, symbol).select("doc_id", F.posexplode("starts").alias("n", "pos"))
+    return at.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "pos")
 
 
 def alphabet_audit(texts: DataFrame, col: str, allowed: str = "ACGT") -> DataFrame:
@@ -53,7 +61,6 @@ def chunk_overlap(seqs: DataFrame, pieces: int, overlap: int) -> DataFrame:
 
 def lead_extents(texts: DataFrame, col: str, header: str) -> DataFrame:
     """For each header symbol: its place (from 1) and the length up to the next one, or to the end."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(col), F.lit(1))), lambda i: F.substring(F.col(col), i, F.lit(1)) == header)
-    rows = texts.select("doc_id", F.length(col).alias("total"), F.explode(at).alias("pos"))
-    nxt = F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.coalesce(nxt, F.col("total") + 1) - F.col("pos")).cast("long").alias("len"))
+    pieces = texts.select("doc_id", F.posexplode(F.transform(F.split(col, "\\Q" + header + "\\E"), lambda x: F.length(x))).alias("i", "n"))
+    before = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    return pieces.withColumn("pos", before).where("i > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), (F.col("n") + 1).cast("long").alias("len"))

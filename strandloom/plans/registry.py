@@ -140,7 +140,7 @@ def contig_filter(spark, d):
 
 @query(seq_sql("SELECT doc_id, list_sort(list_distinct(list_filter(generate_series(1, length(seq) - 1), lambda i: substring(seq, i, 2) = 'CG')))::BIGINT[] AS starts FROM seqs"))
 def pattern_sorted_positions(spark, d):
-    return V.seqs(spark, d).select("doc_id", F.array_sort(F.array_distinct(S.overlapping_starts(F.col("seq"), "CG"))).cast("array<bigint>").alias("starts"))
+    return kmers.with_starts(V.seqs(spark, d), "CG").select("doc_id", F.array_sort(F.array_distinct("starts")).alias("starts"))
 
 
 # --- suffix index, by chunk
