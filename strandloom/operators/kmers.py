@@ -1,4 +1,8 @@
-"""K-mers, patterns and symbol positions."""
+"""K-mers, patterns and symbol positions.
+
+Arrays are exploded with the outer form and a filter after it: for the inner form the optimizer adds a filter on the
+array's size below, with the whole expression of the sequence copied into the lambda, to be run for every element.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ def kmer_freq(seqs: DataFrame, k: int = 7, share: float = 1.0) -> DataFrame:
     """kmer, n over the first `share` of each sequence."""
     seq = F.col("seq") if share >= 1 else F.substring(F.col("seq"), F.lit(1), F.floor(F.length("seq") * share).cast("int"))
     raw = seqs.select(seq.cast("binary").alias("raw"))
-    counts = raw.select(F.explode(S.kmers(F.col("raw"), k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = raw.select(F.explode_outer(S.kmers(F.col("raw"), k)).alias("kmer")).where("kmer IS NOT NULL").groupBy("kmer").agg(F.count("*").alias("n"))
     return counts.select(F.col("kmer").cast("string").alias("kmer"), "n")
 
 
@@ -24,13 +28,13 @@ def with_starts(seqs: DataFrame, pattern: str) -> DataFrame:
 
 def pattern_positions(seqs: DataFrame, pattern: str) -> DataFrame:
     """1-based starts and lengths of matches that do not overlap, from the left."""
-    pieces = seqs.select("doc_id", F.posexplode(F.split("seq", pattern)).alias("i", "piece"))
+    pieces = seqs.select("doc_id", F.posexplode_outer(F.split("seq", pattern)).alias("i", "piece"))
     before = F.sum(F.length("piece")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     return pieces.withColumn("before", before).where("i > 0").select("doc_id", (F.col("before") + (F.col("i") - 1) * len(pattern) + 1).cast("long").alias("start"), F.lit(len(pattern)).alias("len"))
 
 
 def pattern_overlap(seqs: DataFrame, pattern: str) -> DataFrame:
-    return with_starts(seqs, pattern).select("doc_id", F.explode("starts").alias("start"))
+    return with_starts(seqs, pattern).select("doc_id", F.explode_outer("starts").alias("start")).where("start IS NOT NULL")
 
 
 def pattern_count(seqs: DataFrame, pattern: str) -> DataFrame:
@@ -39,7 +43,7 @@ def pattern_count(seqs: DataFrame, pattern: str) -> DataFrame:
 
 def occ_positions(seqs: DataFrame, symbol: str) -> DataFrame:
     """The n-th occurrence (from 1) of a symbol and its place (from 1)."""
-    at = with_starts(seqs, symbol).select("doc_id", F.posexplode("starts").alias("n", "pos"))
+    at = with_starts(seqs, symbol).select("doc_id", F.posexplode_outer("starts").alias("n", "pos")).where("pos IS NOT NULL")
     return at.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "pos")
 
 
@@ -61,6 +65,6 @@ def chunk_overlap(seqs: DataFrame, pieces: int, overlap: int) -> DataFrame:
 
 def lead_extents(texts: DataFrame, col: str, header: str) -> DataFrame:
     """For each header symbol: its place (from 1) and the length up to the next one, or to the end."""
-    pieces = texts.select("doc_id", F.posexplode(F.transform(F.split(col, "\\Q" + header + "\\E"), lambda x: F.length(x))).alias("i", "n"))
+    pieces = texts.select("doc_id", F.posexplode_outer(F.transform(F.split(col, "\\Q" + header + "\\E"), lambda x: F.length(x))).alias("i", "n"))
     before = F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     return pieces.withColumn("pos", before).where("i > 0").select("doc_id", F.col("pos").cast("long").alias("pos"), (F.col("n") + 1).cast("long").alias("len"))
