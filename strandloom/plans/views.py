@@ -46,8 +46,9 @@ def contig_chunks(df: DataFrame, target: int, overlap: int = 2) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A read of 100 to 150 bases (where the sequence is as long) for each event; every seventh has one base changed."""
-    ev = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 200).alias("doc_id"))
+    """A read of 100 to 150 bases (where the sequence is as long) for each event, dealt over all documents; every seventh has one base changed."""
+    n = table(spark, sf_dir, "documents").count()
+    ev = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % n).alias("doc_id"))
     both = ev.join(seqs(spark, sf_dir), "doc_id").where("length(seq) >= 100")
     want = F.least(100 + F.col("event_id") % 51, F.length("seq"))
     start = 1 + (F.col("event_id") * 37) % (F.length("seq") - want + 1)
@@ -71,7 +72,7 @@ SQL = {
         FROM (SELECT *, unnest(generate_series(1, n)) AS c FROM (SELECT *, (length(seq) + 2 * n) // n AS size FROM (SELECT *, 1 + ((length(seq) + 2) >> 8) AS n FROM seqs WHERE seq <> '')))""",
     "reads": """SELECT event_id AS read_id, doc_id, start, CASE WHEN event_id % 7 = 0 THEN substring(s, 1, event_id % 90 + 4) || translate(substring(s, event_id % 90 + 5, 1), 'ACGT', 'CGTA') || substring(s, event_id % 90 + 6)
         ELSE s END AS seq FROM (SELECT *, substring(seq, start, want) AS s FROM (SELECT *, 1 + (event_id * 37) % (length(seq) - want + 1) AS start FROM
-        (SELECT event_id, doc_id, seq, least(100 + event_id % 51, length(seq)) AS want FROM (SELECT event_id, event_id % 200 AS doc_id FROM events) JOIN seqs USING (doc_id) WHERE length(seq) >= 100)))""",
+        (SELECT event_id, doc_id, seq, least(100 + event_id % 51, length(seq)) AS want FROM (SELECT event_id, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events) JOIN seqs USING (doc_id) WHERE length(seq) >= 100)))""",
     "hits": "SELECT user_id AS key, event_type AS w, event_id AS p FROM events",
 }
 NEEDS = {"chunks": ("seqs",), "reads": ("seqs",)}
