@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from strandloom.llm import _io, tokens
 
 CAPACITY = 2048
-SALT_ROWS = 50_000
+SALT_ROWS = 10_000
 
 
 class CapacityTree:
