@@ -220,7 +220,7 @@ SELECT read_id, (pos - n + 1)::BIGINT AS window_pos, substring(repeat('N', 200)
 def candidate_slice(spark, d):
     pos = F.col("start") - 1 + F.length("seq") + F.col("read_id") % 7 - 3
     c = V.reads(spark, d).select("read_id", "doc_id", pos.alias("pos"), (F.length("seq") + F.col("read_id") % 21).alias("n"))
-    both = c.join(V.seqs(spark, d), "doc_id")
+    both = c.join(V.seqs(spark, d).hint("merge"), "doc_id")
     return both.select("read_id", (F.col("pos") - F.col("n") + 1).alias("window_pos"), clusters.candidate_slice(F.col("seq"), F.col("pos"), F.col("n"), 200).alias("ref_window"))
 
 

@@ -15,12 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer tasks than there are cores (a small one in few files), dealt out evenly; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.letters_to_bases(F.col("text")).alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", S.letters_to_bases(F.col("text")).alias("seq"))
 
 
 def raw_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.letters_to_raw(F.col("text")).alias("raw"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", S.letters_to_raw(F.col("text")).alias("raw"))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +55,8 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A read of 100 to 150 bases (where the sequence is as long) for each event, dealt over all documents; every seventh has one base changed."""
     n = table(spark, sf_dir, "documents").count()
     ev = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % n).alias("doc_id"))
-    both = ev.join(seqs(spark, sf_dir), "doc_id").where("length(seq) >= 100")
+    # a merge join: a broadcast of the events would derive a document's sequence again for each of its reads
+    both = ev.join(seqs(spark, sf_dir).hint("merge"), "doc_id").where("length(seq) >= 100")
     want = F.least(100 + F.col("event_id") % 51, F.length("seq"))
     start = 1 + (F.col("event_id") * 37) % (F.length("seq") - want + 1)
     cut = both.select("event_id", "doc_id", start.alias("start"), F.substring(F.col("seq"), start.cast("int"), want.cast("int")).alias("seq"))
