@@ -293,7 +293,7 @@ def align_e2e(spark, d):
 def stream_align(spark, d):
     path = T.scratch(spark, "reads")
     V.reads(spark, d).select("read_id", "seq").repartition(4).write.parquet(path)
-    return stream(spark, path, V.seqs(spark, d), SHORT).drop("batch")
+    return stream(spark, path, V.seqs(spark, d), SHORT, files_per_batch=4).drop("batch")
 
 
 @query("SELECT key, score, pos FROM (SELECT user_id AS key, floor(value * 10)::BIGINT AS score, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY floor(value * 10) DESC, event_id DESC) AS r FROM events) WHERE r = 1")
