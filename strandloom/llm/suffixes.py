@@ -17,6 +17,9 @@ Documents travel in compressed blocks of a few MB. A block sends each distinct s
 copies it holds, so a very common passage costs a bucket one entry for each block. The answer to a block is a bit for
 each suffix it sent; the block computes the same list again to read it.
 
+The same runs over words instead of bytes (`words=True`): a text's symbols are then hashes of its words (what white space
+parts), `length` counts words, and what lies between two neighbouring marked words goes with them.
+
 Defined cases: null text is empty; texts shorter than `length` lose nothing; documents never run into each other;
 overlapping repeats count; repeated rows and doc_ids are documents of their own; an empty table gives none; other
 columns are ignored. Where a cut would leave part of a character, `dedup_texts` drops that part.
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ from pyspark.sql import functions as F
 from strandloom.llm import _io
 
 LENGTH = 400
+WORDS = 51  # passages of over 50 words, in dedup_texts
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Difference covers, modulus -> residues. Every difference modulo the modulus occurs.
 COVERS = {
     1: (0,),
@@ -79,15 +85,33 @@ def window_hash(text: np.ndarray, at: np.ndarray, length: int, which: int) -> np
         hi = int(np.searchsorted(at, a + STEP))
         if hi > lo:
             part = text[a : a + STEP + length]
+            value = letters[part] if part.dtype == np.uint8 else mixed(part ^ letters[0])
             total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(letters[part] * up[: len(part)], out=total[1:])
+            np.cumsum(value * up[: len(part)], out=total[1:])
             q = at[lo:hi] - a
             out[lo:hi] = (total[q + length] - total[q]) * down[q]
         lo = hi
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
+    return mixed(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_symbols(text: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit hash of each word; words do not run over the ends of documents."""
+    inside = np.append(~SPACE[text], False)
+    cut = np.zeros(len(text) + 1, bool)
+    cut[end] = cut[0] = True
+    before = np.append(False, inside[:-1])
+    start = np.flatnonzero(inside & (~before | cut))
+    stop = np.flatnonzero(before & (~inside | cut))
+    value = np.empty(len(start), np.uint64)
+    for n in np.unique(stop - start).tolist():
+        own = np.flatnonzero(stop - start == n)
+        value[own] = window_hash(text, start[own], n, 0) + np.uint64(n) if n < 1000 else [xxhash.xxh3_64_intdigest(text[a : a + n].tobytes()) for a in start[own]]
+    return start, stop, value
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -99,10 +123,29 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Block:
-    def __init__(self, lens, data: bytes):
-        self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max(sum(lens), 1)), np.uint8)
-        self.end = np.cumsum(np.asarray(lens, np.int64))
-        self.begin = self.end - np.asarray(lens, np.int64)
+    """raw: the bytes, raw_begin and raw_end of each document in them; text, begin and end: the same in symbols."""
+
+    def __init__(self, lens, data: bytes, words: bool = False):
+        self.raw = self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max(sum(lens), 1)), np.uint8)
+        self.raw_end = self.end = np.cumsum(np.asarray(lens, np.int64))
+        self.raw_begin = self.begin = self.end - np.asarray(lens, np.int64)
+        self.word = None
+        if words:
+            start, stop, self.text = word_symbols(self.raw, self.raw_end)
+            self.word = (start, stop)
+            self.begin, self.end = np.searchsorted(start, self.raw_begin), np.searchsorted(start, self.raw_end)
+
+    def in_bytes(self, mark: np.ndarray, i: int) -> np.ndarray:
+        """The marked symbols of document i as marked bytes."""
+        mark = mark[self.begin[i] : self.end[i]]
+        if self.word is None:
+            return mark
+        out = np.zeros(self.raw_end[i] - self.raw_begin[i] + 1, np.int8)
+        edge = np.diff(mark.astype(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1) + self.begin[i], np.flatnonzero(edge == -1) - 1 + self.begin[i]
+        out[self.word[0][first] - self.raw_begin[i]] = 1
+        out[self.word[1][last] - self.raw_begin[i]] -= 1
+        return np.cumsum(out[:-1]) > 0
 
     @staticmethod
     def pack(texts: list[bytes]) -> bytes:
@@ -212,11 +255,11 @@ def read_bits(n: int, order, new, kind, buckets: np.ndarray, replies: dict[int,
     return out
 
 
-def cover_pairs(table: DataFrame, length: int, buckets: int) -> DataFrame:
+def cover_pairs(table: DataFrame, length: int, buckets: int, words: bool = False) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                keys = np.unique(Block(r.lens, r.data).cover_keys(length, buckets)[1])
+                keys = np.unique(Block(r.lens, r.data, words).cover_keys(length, buckets)[1])
                 own = (keys >> np.uint64(32)).astype(np.int64)
                 edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
                 low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -245,13 +288,13 @@ def result_frame(rows: list[tuple], block: dict | None = None) -> pd.DataFrame:
     return out
 
 
-def candidates(length: int, buckets: int, with_text: bool):
+def candidates(length: int, buckets: int, with_text: bool, words: bool = False):
     """A block and the answers about its cover: rows of documents that keep everything, and a smaller block of the rest with the zones of its possible starts."""
     v, _ = cover(length)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
-        b = Block(r.lens, r.data)
+        b = Block(r.lens, r.data, words)
         at, keys = b.cover_keys(length, buckets)
         order, new, kind = once(keys)
         yes = read_bits(len(keys), order, new, kind, (keys >> np.uint64(32)).astype(np.int64), dict(zip(right.bucket, right.bits)))
@@ -262,7 +305,7 @@ def candidates(length: int, buckets: int, with_text: bool):
         may = b.fits(may, length)
         doc = np.searchsorted(b.end, may, "right")
         held = np.unique(doc)
-        rows = [finished(k, b.text[s:e].tobytes(), None, with_text) for i, (k, s, e) in enumerate(zip(r["keys"], b.begin, b.end)) if not len(held) or held[min(np.searchsorted(held, i), len(held) - 1)] != i]
+        rows = [finished(k, b.raw[s:e].tobytes(), None, with_text) for i, (k, s, e) in enumerate(zip(r["keys"], b.raw_begin, b.raw_end)) if not len(held) or held[min(np.searchsorted(held, i), len(held) - 1)] != i]
         if not len(held):
             return result_frame(rows, dict.fromkeys(["block", "keys", "lens", "data", "zones"])).iloc[:-1]
         lens = (b.end - b.begin)[held]
@@ -271,9 +314,9 @@ def candidates(length: int, buckets: int, with_text: bool):
         may = may - moved[doc]
         edge = np.flatnonzero(np.append(True, np.diff(may) != 1))
         zones = np.stack([may[edge], may[np.append(edge[1:], len(may)) - 1] + 1])
-        data = Block.pack([b.text[b.begin[i] : b.end[i]].tobytes() for i in held])
+        data = Block.pack([b.raw[b.raw_begin[i] : b.raw_end[i]].tobytes() for i in held])
         names = list(r["keys"])
-        return result_frame(rows, {"block": int(r.block), "keys": [names[i] for i in held], "lens": lens.tolist(), "data": data, "zones": zones.astype("<i8").tobytes()})
+        return result_frame(rows, {"block": int(r.block), "keys": [names[i] for i in held], "lens": (b.raw_end - b.raw_begin)[held].tolist(), "data": data, "zones": zones.astype("<i8").tobytes()})
 
     return run
 
@@ -284,11 +327,11 @@ def zone_positions(zones: bytes) -> np.ndarray:
     return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def suffix_pairs(table: DataFrame, length: int, buckets: int, wave: range) -> DataFrame:
+def suffix_pairs(table: DataFrame, length: int, buckets: int, wave: range, words: bool = False) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                one, two, own = suffix_keys(Block(r.lens, r.data), r.zones, length, buckets, wave)[1:]
+                one, two, own = suffix_keys(Block(r.lens, r.data, words), r.zones, length, buckets, wave)[1:]
                 order, new, _ = once(one, two)
                 at = order[new]
                 one, two, own = one[at].astype("<u8"), two[at].astype("<u4"), own[at]
@@ -308,10 +351,10 @@ def suffix_keys(b: Block, zones: bytes, length: int, buckets: int, wave: range)
     return at, one[now], (window_hash(b.text, at, length, 1) >> np.uint64(32)).astype(np.uint32), own[now]
 
 
-def spans(length: int, buckets: int, waves: list[range], with_text: bool):
+def spans(length: int, buckets: int, waves: list[range], with_text: bool, words: bool = False):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
-        b = Block(r.lens, r.data)
+        b = Block(r.lens, r.data, words)
         replies = dict(zip(right.bucket, right.bits))
         cover_n = np.zeros(len(b.text) + 1, np.int32)
         for wave in waves:
@@ -321,7 +364,7 @@ def spans(length: int, buckets: int, waves: list[range], with_text: bool):
             cover_n[at] += 1  # positions are distinct
             cover_n[at + length] -= 1
         mark = np.cumsum(cover_n[:-1]) > 0
-        return result_frame([finished(k, b.text[s:e].tobytes(), mark[s:e], with_text) for k, s, e in zip(r["keys"], b.begin, b.end)])
+        return result_frame([finished(k, b.raw[s:e].tobytes(), b.in_bytes(mark, i), with_text) for i, (k, s, e) in enumerate(zip(r["keys"], b.raw_begin, b.raw_end))])
 
     return run
 
@@ -332,8 +375,8 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", *, length: int = LENGTH, with_text: bool = False, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, wave_share: float = 0.6, least_wave: int = 64 << 20) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (key, text); with_text, also the kept bytes and the removed runs of documents that lose any.
+def repeated_spans(docs: DataFrame, key: str = "doc_id", *, length: int = LENGTH, words: bool = False, with_text: bool = False, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, wave_share: float = 0.6, least_wave: int = 64 << 20) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (key, text); words: length counts words, not bytes; with_text, also the kept bytes and the removed runs of documents that lose any.
 
     wave_share: bytes of suffix keys on disk at once, as a share of the text's; least_wave: bytes below which there is no point in several waves.
     """
@@ -342,9 +385,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", *, length: int = LENGTH
     n = table.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     v, residues = cover(length)
     buckets = max(4, -(-n * len(residues) // v // (2 * bucket_keys)))
-    replies = asked(cover_pairs(table, length, buckets), ("<u4",), "cover-ranks")
+    replies = asked(cover_pairs(table, length, buckets, words), ("<u4",), "cover-ranks")
     release(spark)
-    mixed = table.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(candidates(length, buckets, with_text), f"{DONE}, {BLOCK}")
+    mixed = table.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(candidates(length, buckets, with_text, words), f"{DONE}, {BLOCK}")
     mixed = _io.stored(mixed, "candidates")
     release(spark)
     rest = mixed.where("block IS NOT NULL").select("block", "keys", "lens", "data", "zones")
@@ -354,25 +397,41 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", *, length: int = LENGTH
     waves = [range(i * each, (i + 1) * each) for i in range(n_waves)]
     told = None
     for wave in waves:
-        part = asked(suffix_pairs(rest, length, n_waves * each, wave), ("<u8", "<u4"), "suffix-bits")
+        part = asked(suffix_pairs(rest, length, n_waves * each, wave, *[True] * words), ("<u8", "<u4"), "suffix-bits")
         told = part if told is None else told.unionAll(part)
         release(spark)
-    found = rest.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(spans(length, n_waves * each, waves, with_text), DONE)
+    found = rest.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(spans(length, n_waves * each, waves, with_text, words), DONE)
     out = mixed.where("block IS NULL").select(found.columns).unionAll(found).withColumnRenamed("key", key)
     return out if with_text else out.drop("kept", "starts", "ends")
 
 
-def dedup_texts(docs: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text, any others) without their repeated strings; n_chars, where there is one, follows the text."""
+def dedup_texts(docs: DataFrame, words: int | None = None, **options) -> DataFrame:
+    """docs (doc_id, text, any others) without their repeated strings; n_chars, where there is one, follows the text. words: repeated runs of so many words go too."""
     docs, key = _io.named(docs)
-    changed = _io.stored(repeated_spans(docs, key, with_text=True, **options).where("n_removed > 0").select(F.col(key).alias("_key"), "kept"), "kept")
-    whole = F.udf(lambda raw: bytes(raw).decode(errors="ignore"), "string")  # a cut may leave part of a character
-    changed = changed.select("_key", F.coalesce(F.when(F.col("kept").isNotNull(), whole("kept")), F.lit("")).alias("_kept"))
+    runs = lambda **more: _io.stored(repeated_spans(docs, key, with_text=True, **options | more).where("n_removed > 0").select(F.col(key).alias("_key"), "starts", "ends"), "spans")
+    changed = runs()
+    if words:
+        changed = changed.unionAll(runs(length=words, words=True))
+    changed = changed.groupBy("_key").agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("ends")).alias("_ends"))
     out = docs.join(changed, docs[key] == changed["_key"], "left")
+    whole = F.udf(without, "string")
+    out = out.withColumn("_kept", F.when(F.col("_key").isNotNull(), whole(F.col("text").cast("string"), "_starts", "_ends")))
     text = F.when(F.col("_key").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     cols = {"text": text} | ({"n_chars": F.when(F.col("_key").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns if c != "_row"])
 
 
+def without(text: str | None, starts: list[int] | None, ends: list[int] | None) -> str | None:
+    """Text less the bytes of the spans, which may overlap; a cut may leave part of a character, which goes too."""
+    if starts is None:
+        return text
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for a, b in sorted(zip(starts, ends)):
+        if a > at:
+            out.append(raw[at:a])
+        at = max(at, b)
+    return b"".join([*out, raw[at:]]).decode(errors="ignore")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_io.table(spark, sf_dir, "documents"))

@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from strandloom.llm import suffixes as S
 
 
@@ -82,3 +84,52 @@ def test_dedup_texts_and_empty(spark):
     again = S.dedup_texts(docs.unionAll(docs.where("doc_id = 4")), length=50)
     assert again.columns == docs.columns and again.count() == 5
     assert S.repeated_spans(docs.limit(0)).count() == 0
+
+
+def brute_words(texts, length):
+    """Kept bytes by counting every run of words."""
+    count, cut = {}, [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", t)] for t in texts]
+    runs = lambda w: [tuple(x[2] for x in w[i : i + length]) for i in range(len(w) - length + 1)]
+    for w in cut:
+        for r in runs(w):
+            count[r] = count.get(r, 0) + 1
+    out = []
+    for t, w in zip(texts, cut):
+        gone = {k for i, r in enumerate(runs(w)) if count[r] > 1 for k in range(i, i + length)}
+        mark = bytearray(len(t))
+        for k in gone:  # and what lies between two words that go
+            end = w[k + 1][0] if k + 1 in gone else w[k][1]
+            mark[w[k][0] : end] = b"x" * (end - w[k][0])
+        out.append(bytes(c for c, m in zip(t, mark) if not m))
+    return out
+
+
+@pytest.mark.parametrize("seed,length", [(0, 51), (1, 7), (2, 20)])
+def test_words_match_brute_force(spark, seed, length):
+    rnd = random.Random(seed)
+    some = lambda n: "".join(rnd.choice("abé") * rnd.randint(1, 3) + rnd.choice([" ", " ", "\n", "  "]) for _ in range(n))
+    shared = [some(2 * length) for _ in range(5)]
+    texts = [None, "", " ", "x" * 3000 + " y", some(2000)]
+    for _ in range(60):
+        t = some(rnd.randint(0, length))
+        for x in rnd.sample(shared, rnd.randint(0, 2)):
+            t += " ".join(x.split()[: rnd.choice([length - 1, length, length + 1, 2 * length])]) + rnd.choice([" ", ""]) + some(rnd.randint(0, 40))
+        texts.append(t)
+    texts += texts[8:12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    raw = [(t or "").encode() for t in texts]
+    got = {r.doc_id: r for r in S.repeated_spans(docs, length=length, words=True, with_text=True, block_bytes=2000, bucket_keys=300).collect()}
+    for i, (t, want) in enumerate(zip(raw, brute_words(raw, length))):
+        assert (t if got[i].kept is None else bytes(got[i].kept)) == want and got[i].n_removed == len(t) - len(want)
+    assert sum(r.n_removed > 0 for r in got.values()) > 10
+
+
+def test_stage_cuts_short_passages_of_many_words(spark):
+    rnd = random.Random(1)
+    some = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    p, q = some(51), some(50)
+    assert len(p) < S.LENGTH
+    texts = [f"{some(40)} {x} {some(40)}" for x in (p, p, q, q)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert [got[i].text for i in range(4)] == [t.replace(p, "") for t in texts] and got[0].n_chars == len(got[0].text)
