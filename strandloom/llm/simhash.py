@@ -262,10 +262,12 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows without a doc_id are kept."""
-    found = near_duplicates(docs.where("doc_id IS NOT NULL"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
+    """The row with the smallest doc_id of each group; rows without a doc_id are kept."""
+    rows, key = _io.named(docs.where("doc_id IS NOT NULL"))
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_key"), "component_id")
+    found = found.join(rows.select(F.col(key).alias("_key"), F.col("doc_id").alias("_id")), "_key")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_key"))
+    return rows.join(kept, rows[key] == kept["_key"], "left_semi").select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
 
 def op6_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

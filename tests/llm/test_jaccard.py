@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as C
 from strandloom.llm import jaccard as J
+from strandloom.llm import simhash as S
 
 
 def brute_sets(text):
@@ -63,3 +64,17 @@ def test_stage_drops_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in C.near_dedup(spark, docs, "").collect()) == list(range(30))
     assert C.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    """Rows that share a doc_id are rows of their own, and rows without one are searched as well."""
+    a, b, c, d = ("a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x")
+    rows = [(5, a, 0), (5, b, 1), (1, b, 2), (7, a, 3), (None, b, 4), (None, c, 5), (None, c, 5), (9, d, 6), (None, d, 7), (3, "", 8), (3, "y", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int")
+    got = C.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.x for r in got.collect()) == [0, 2, 5, 6, 8, 9]
+
+
+def test_simhash_keep_one_names_rows(spark):
+    rows = [(5, "a b c d e f", 0), (5, "g h i j k l", 1), (1, "g h i j k l", 2)]
+    assert sorted(r.x for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, x int")).collect()) == [0, 2]
