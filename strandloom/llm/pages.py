@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,9 +208,18 @@ def by_url(pages: DataFrame) -> DataFrame:
     return own.repartitionByRange(_io.parts(pages.sparkSession), *order).sortWithinPartitions(*order)
 
 
+RESULT = ["page_id", "url", "text", "n_chars", "n_shared"]
+EDGE = ["html", "host", "path", "task", "place", "decide"]
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines deleted because the nearest page has them) for every page."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """page_id, url, text, n_chars, n_shared (lines deleted because the nearest page has them) for every page.
+
+    A task passes its first and last two pages on as well; the first and the last are decided afterwards, when the
+    pages at all edges pass in order, so that a neighbour in another task counts like any other.
+    """
+
+    def texts(frames: Iterator[pd.DataFrame], edges: bool) -> Iterator[pd.DataFrame]:
         def pages_of():
             for f in frames:
                 for r in f.itertuples():
@@ -230,23 +240,42 @@ def main_texts(pages: DataFrame) -> DataFrame:
             return max(ends, key=lambda p: shared_prefix(p[0].path, now[0].path), default=None)
 
         def frame(out):
-            names = ["page_id", "url", "text", "n_chars", "n_shared"]
-            return pd.DataFrame(out, columns=names).astype({"page_id": "Int64"})
-
+            return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c in ("page_id", "n_chars", "n_shared", "task", "place")})
+
+        def edge(page, place, decide):
+            r = page[0]
+            return (None if pd.isna(r.page_id) else int(r.page_id), r.url, None, None, None, r.html, r.host, r.path, task, place, decide)
+
+        def decided(i, before, now, after):
+            """Rows of a page: its result, or in a first pass what is passed on of it."""
+            if not edges:
+                return [result(now, nearest(before, now, after))] if now[0].decide else []
+            if i == 0 or after is None:
+                return [edge(now, i, True)]
+            return [(*result(now, nearest(before, now, after)), *[None] * len(EDGE)), *([edge(now, i, False)] if i == 1 else [])]
+
+        names = RESULT + EDGE if edges else RESULT
+        task = TaskContext.get().partitionId()
         before = now = None
-        out = []
+        i, out = -1, []
         for after in pages_of():
             if now is not None:
-                out.append(result(now, nearest(before, now, after)))
-            before, now = now, after
+                out += decided(i, before, now, after)
+            before, now, i = now, after, i + 1
             if len(out) >= 500:
                 yield frame(out)
                 out = []
         if now is not None:
-            out.append(result(now, nearest(before, now, None)))
+            if edges and i > 2:  # the last but one; the second is passed on already
+                out.append(edge(before, i - 1, False))
+            out += decided(i, before, now, None)
         yield frame(out)
 
-    return by_url(pages).mapInPandas(run, "page_id long, url string, text string, n_chars long, n_shared long")
+    kinds = "page_id long, url string, text string, n_chars long, n_shared long"
+    got = by_url(pages).mapInPandas(lambda frames: texts(frames, True), f"{kinds}, html string, host string, path string, task long, place long, decide boolean")
+    got = _io.stored(got, "page-texts")
+    edges = got.where("task IS NOT NULL").select("page_id", "url", *EDGE).repartition(1).sortWithinPartitions("task", "place")
+    return got.where("task IS NULL").select(RESULT).unionAll(edges.mapInPandas(lambda frames: texts(frames, False), kinds))
 
 
 def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,18 @@ def test_differencing_decides_open_lines(spark):
     assert got[102].text == got[103].text == "Head & line\nOne.\nTwo <b> é three\na\nb\nLast&"
     assert got[105].n_chars == len(got[105].text) == 20000 * 5 - 1
     assert P.main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 17, 60])
+def test_neighbours_in_other_tasks_count(spark, tasks):
+    """Hosts of two pages and one of forty: whatever the number of tasks, each page meets its nearest."""
+    bare = "<div>Welcome {}</div><div>{}</div><p>Call us</p>"
+    rows = [(i, f"http://h{i // 2:02}.example/{i}", bare.format(i // 2, f"story {i}")) for i in range(60)]
+    rows += [(i, f"http://long.example/{i:03}", bare.format("", f"story {i}")) for i in range(60, 100)] + [(100, "http://z.example", bare.format("z", "alone"))]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = {r.page_id: r.text for r in P.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == {i: f"story {i}" for i in range(100)} | {100: "Welcome z\nalone\nCall us"}
