@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,11 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset: a folder of our own if all of Spark runs in this process, else an error, as executors would write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -25,17 +30,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df once into the shared folder and return it read back: every later use starts from the files."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once into the shared folder and return it read back: every later use starts from the files. The shuffle files of the write go when it ends."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def named(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs and a column that names each row: doc_id if it does, else a number given to the stored rows."""
+    """docs and a column that names each row: doc_id if it does, else a new number given to the stored rows."""
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return (docs, "doc_id") if n == ids else (stored(docs.withColumn("_row", F.monotonically_increasing_id()), "named-rows"), "_row")
+    if n == ids:
+        return docs, "doc_id"
+    row = fresh(docs, "_row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "named-rows"), row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +82,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """While an action runs, hand Python workers at most so many rows at a time: for texts, a few MB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows):
         yield
-    finally:
-        spark.conf.set(key, old)
 
 
 def parts(spark: SparkSession) -> int:

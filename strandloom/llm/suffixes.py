@@ -17,21 +17,23 @@ Documents travel in compressed blocks of a few MB. A block sends each distinct s
 copies it holds, so a very common passage costs a bucket one entry for each block. The answer to a block is a bit for
 each suffix it sent; the block computes the same list again to read it.
 
-The same runs over words instead of bytes (`words=True`): a text's symbols are then hashes of its words (what white space
-parts), `length` counts words, and what lies between two neighbouring marked words goes with them.
+The same runs over words as well as bytes, in the same passes: a text's symbols are then hashes of its words (what white
+space parts), the length counts words, and what lies between two neighbouring marked words goes with them. Passages of
+over 50 words may be shorter than 400 bytes, so both kinds are looked for where texts are to be cleaned.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; documents never run into each other;
 overlapping repeats count; repeated rows and doc_ids are documents of their own; an empty table gives none; other
-columns are ignored. Where a cut would leave part of a character, `dedup_texts` drops that part.
+columns are ignored, and passed on by dedup_texts. Where a cut would leave part of a character, the text drops that part.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,8 +45,19 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import _io
 
-LENGTH = 400
-WORDS = 51  # passages of over 50 words, in dedup_texts
+
+
+@dataclass(frozen=True)
+class Repeat:
+    """What counts as a repeat: so many bytes, or so many words, that stand elsewhere too."""
+
+    length: int
+    words: bool = False
+
+
+BYTES = Repeat(400)
+PASSAGE = Repeat(51, words=True)  # passages of over 50 words
+LONG_WORD = 4096  # bytes from which a word is hashed on its own
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Difference covers, modulus -> residues. Every difference modulo the modulus occurs.
 COVERS = {
@@ -55,8 +68,8 @@ COVERS = {
 BLOCK_BYTES = 4 << 20
 STEP = 1 << 20  # positions hashed at a time
 BUCKET_KEYS = 1 << 20
-BLOCK = "block long, keys array<long>, lens array<long>, data binary, zones binary"
-DONE = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
+BLOCK = "block long, keys array<long>, lens array<long>, data binary, zones array<binary>"
+DONE = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_cut long, text string"
 
 
 def cover(length: int) -> tuple[int, np.ndarray]:
@@ -77,19 +90,20 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), letters
 
 
-def window_hash(text: np.ndarray, at: np.ndarray, length: int, which: int) -> np.ndarray:
-    """64-bit hashes of the `length` bytes from each position of `at` (ascending): polynomials modulo 2**64 over random byte values, mixed."""
-    up, down, letters = _powers(STEP + length, which)
+def window_hash(text: np.ndarray, at: np.ndarray, length: int | np.ndarray, which: int) -> np.ndarray:
+    """64-bit hashes of the `length` symbols (one number, or one for each) from each position of `at` (ascending): polynomials modulo 2**64 over random symbol values, mixed."""
+    most = length if isinstance(length, int) else int(length.max(initial=1))
+    up, down, letters = _powers(STEP + max(most, 1 << most.bit_length() if most > 512 else 512), which)
     out, lo = np.empty(len(at), np.uint64), 0
     for a in range(0, len(text), STEP):
         hi = int(np.searchsorted(at, a + STEP))
         if hi > lo:
-            part = text[a : a + STEP + length]
+            part = text[a : a + STEP + most]
             value = letters[part] if part.dtype == np.uint8 else mixed(part ^ letters[0])
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(value * up[: len(part)], out=total[1:])
             q = at[lo:hi] - a
-            out[lo:hi] = (total[q + length] - total[q]) * down[q]
+            out[lo:hi] = (total[q + (length if isinstance(length, int) else length[lo:hi])] - total[q]) * down[q]
         lo = hi
     return mixed(out)
 
@@ -107,10 +121,12 @@ def word_symbols(text: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     before = np.append(False, inside[:-1])
     start = np.flatnonzero(inside & (~before | cut))
     stop = np.flatnonzero(before & (~inside | cut))
+    size = stop - start
     value = np.empty(len(start), np.uint64)
-    for n in np.unique(stop - start).tolist():
-        own = np.flatnonzero(stop - start == n)
-        value[own] = window_hash(text, start[own], n, 0) + np.uint64(n) if n < 1000 else [xxhash.xxh3_64_intdigest(text[a : a + n].tobytes()) for a in start[own]]
+    short = size < LONG_WORD
+    value[short] = window_hash(text, start[short], size[short], 0) + size[short].astype(np.uint64)
+    for i in np.flatnonzero(~short).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(text[start[i] : stop[i]].tobytes())
     return start, stop, value
 
 
@@ -122,37 +138,32 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 # --- blocks of documents
 
 
-class Block:
-    """raw: the bytes, raw_begin and raw_end of each document in them; text, begin and end: the same in symbols."""
+class View:
+    """A block's texts as symbols: bytes, or words. text: the symbols; begin, end: those of each document."""
 
-    def __init__(self, lens, data: bytes, words: bool = False):
-        self.raw = self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max(sum(lens), 1)), np.uint8)
-        self.raw_end = self.end = np.cumsum(np.asarray(lens, np.int64))
-        self.raw_begin = self.begin = self.end - np.asarray(lens, np.int64)
-        self.word = None
+    def __init__(self, block: Block, words: bool):
+        self.block, self.word = block, None
+        self.text, self.begin, self.end = block.raw, block.begin, block.end
         if words:
-            start, stop, self.text = word_symbols(self.raw, self.raw_end)
+            start, stop, self.text = word_symbols(block.raw, block.end)
             self.word = (start, stop)
-            self.begin, self.end = np.searchsorted(start, self.raw_begin), np.searchsorted(start, self.raw_end)
+            self.begin, self.end = np.searchsorted(start, block.begin), np.searchsorted(start, block.end)
 
     def in_bytes(self, mark: np.ndarray, i: int) -> np.ndarray:
         """The marked symbols of document i as marked bytes."""
         mark = mark[self.begin[i] : self.end[i]]
         if self.word is None:
             return mark
-        out = np.zeros(self.raw_end[i] - self.raw_begin[i] + 1, np.int8)
+        block = self.block
+        out = np.zeros(block.end[i] - block.begin[i] + 1, np.int8)
         edge = np.diff(mark.astype(np.int8), prepend=0, append=0)
         first, last = np.flatnonzero(edge == 1) + self.begin[i], np.flatnonzero(edge == -1) - 1 + self.begin[i]
-        out[self.word[0][first] - self.raw_begin[i]] = 1
-        out[self.word[1][last] - self.raw_begin[i]] -= 1
+        out[self.word[0][first] - block.begin[i]] = 1
+        out[self.word[1][last] - block.begin[i]] -= 1
         return np.cumsum(out[:-1]) > 0
 
-    @staticmethod
-    def pack(texts: list[bytes]) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-
     def fits(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Those of the ascending positions whose next n bytes stay within their document."""
+        """Those of the ascending positions whose next n symbols stay within their document."""
         return at[at + n <= self.end[np.minimum(np.searchsorted(self.end, at, "right"), len(self.end) - 1)]] if len(at) else at
 
     def cover_positions(self, length: int) -> np.ndarray:
@@ -168,13 +179,36 @@ class Block:
         return at, bucket_of(h, buckets).astype(np.uint64) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
 
+class Block:
+    """Documents in one piece: their bytes, and where each begins and ends in them."""
+
+    def __init__(self, lens, data: bytes):
+        self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max(sum(lens), 1)), np.uint8)
+        self.end = np.cumsum(np.asarray(lens, np.int64))
+        self.begin = self.end - np.asarray(lens, np.int64)
+        self.views: dict[bool, View] = {}
+
+    def view(self, words: bool) -> View:
+        if words not in self.views:
+            self.views[words] = View(self, words)
+        return self.views[words]
+
+    def texts(self) -> Iterator[bytes]:
+        return (self.raw[a:b].tobytes() for a, b in zip(self.begin, self.end))
+
+    @staticmethod
+    def pack(texts: list[bytes]) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+
+
 def blocks(docs: DataFrame, key: str, block_bytes: int) -> DataFrame:
+    kinds = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, texts, size = [], [], 0
 
         def flush():
-            row = {"block": [uuid.uuid4().int >> 65], "keys": [keys], "lens": [[len(t) for t in texts]], "data": [Block.pack(texts)], "zones": [b""]}
-            return pa.RecordBatch.from_pydict(row, pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary()), ("zones", pa.binary())]))
+            return pa.RecordBatch.from_pydict({"block": [uuid.uuid4().int >> 65], "keys": [keys], "lens": [[len(t) for t in texts]], "data": [Block.pack(texts)]}, kinds)
 
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -187,7 +221,7 @@ def blocks(docs: DataFrame, key: str, block_bytes: int) -> DataFrame:
         if keys:
             yield flush()
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, BLOCK)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "block long, keys array<long>, lens array<long>, data binary")
 
 
 # --- keys to buckets, bits back to blocks
@@ -255,68 +289,101 @@ def read_bits(n: int, order, new, kind, buckets: np.ndarray, replies: dict[int,
     return out
 
 
-def cover_pairs(table: DataFrame, length: int, buckets: int, words: bool = False) -> DataFrame:
+def runs_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal values."""
+    edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    return edge, np.append(edge[1:], len(own))
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What to look for, and for each kind its first bucket and its number of buckets."""
+
+    repeats: tuple[Repeat, ...]
+    first: tuple[int, ...]
+    buckets: tuple[int, ...]
+
+    @staticmethod
+    def of(repeats: Sequence[Repeat], buckets: Sequence[int]) -> Plan:
+        return Plan(tuple(repeats), tuple(int(x) for x in np.cumsum([0, *buckets[:-1]])), tuple(buckets))
+
+    def __iter__(self) -> Iterator[tuple[Repeat, int, int]]:
+        return zip(self.repeats, self.first, self.buckets)
+
+
+def cover_pairs(table: DataFrame, plan: Plan) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                keys = np.unique(Block(r.lens, r.data, words).cover_keys(length, buckets)[1])
-                own = (keys >> np.uint64(32)).astype(np.int64)
-                edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
-                low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield pd.DataFrame({"bucket": own[edge], "block": r.block, "keys": [low[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(own)))]})
+                b = Block(r.lens, r.data)
+                for rep, first, buckets in plan:
+                    keys = np.unique(b.view(rep.words).cover_keys(rep.length, buckets)[1])
+                    own = (keys >> np.uint64(32)).astype(np.int64)
+                    low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+                    lo, hi = runs_of(own)
+                    yield pd.DataFrame({"bucket": own[lo] + first, "block": r.block, "keys": [low[x:y].tobytes() for x, y in zip(lo, hi)]})
 
     return table.mapInPandas(run, "bucket long, block long, keys binary")
 
 
-def finished(key, text: bytes, mark: np.ndarray | None, with_text: bool) -> tuple:
-    """One result row; mark: the bytes to remove."""
-    if mark is None or not mark.any():
-        return (key, len(text), 0, 0, hashlib.sha256(text).hexdigest(), None, None, None)
-    edge = np.diff(mark.astype(np.int8), prepend=0, append=0)
-    kept = np.frombuffer(text, np.uint8)[~mark].tobytes()
-    starts, ends = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
-    return (key, len(text), int(mark.sum()), len(starts), hashlib.sha256(kept).hexdigest(), kept if with_text else None, starts if with_text else None, ends if with_text else None)
+def finished(key, text: bytes, marks: list[np.ndarray], with_text: str) -> tuple:
+    """One result row; marks: for each kind of repeat, the bytes to remove. The counts and the digest are of the first kind, n_cut and text of all."""
+    raw, held = np.frombuffer(text, np.uint8), [m for m in marks if m.any()]
+    every = np.logical_or.reduce(held) if held else None
+    n_cut = int(every.sum()) if held else 0
+    out = None
+    if with_text == "all" or with_text == "changed" and n_cut:
+        out = (raw[~every].tobytes() if held else text).decode(errors="ignore")
+    first = marks[0] if marks and marks[0].any() else None
+    if first is None:
+        return (key, len(text), 0, 0, hashlib.sha256(text).hexdigest(), n_cut, out)
+    edge = np.diff(first.astype(np.int8), prepend=0, append=0)
+    return (key, len(text), int(first.sum()), int((edge == 1).sum()), hashlib.sha256(raw[~first].tobytes()).hexdigest(), n_cut, out)
 
 
 def result_frame(rows: list[tuple], block: dict | None = None) -> pd.DataFrame:
-    names = [x.split()[0] for x in DONE.split(", ")]
-    out = pd.DataFrame(rows, columns=names).astype({"key": "Int64"})
-    if block is not None:
-        out = pd.concat([out.assign(block=pd.array([None] * len(out), "Int64"), keys=None, lens=None, data=None, zones=None), pd.DataFrame([block])], ignore_index=True)
-        out = out.astype({c: "Int64" for c in ("key", "n_bytes", "n_removed", "n_spans", "block")})
-        out = out.astype(object).where(out.notna(), None)
-    return out
+    names, held = [x.split()[0] for x in DONE.split(", ")], [x.split()[0] for x in BLOCK.split(", ")]
+    out = pd.DataFrame(rows, columns=names, dtype=object)
+    out = pd.concat([out.assign(**dict.fromkeys(held)), *([pd.DataFrame([block], dtype=object)] if block else [])], ignore_index=True)
+    whole = [x.split()[0] for x in f"{DONE}, {BLOCK}".split(", ") if x.endswith(" long")]
+    return out.astype({c: "Int64" for c in whole})
 
 
-def candidates(length: int, buckets: int, with_text: bool, words: bool = False):
-    """A block and the answers about its cover: rows of documents that keep everything, and a smaller block of the rest with the zones of its possible starts."""
-    v, _ = cover(length)
+def candidates(plan: Plan, with_text: str):
+    """A block and the answers about its cover: rows of documents that keep everything, and a smaller block of the rest with the zones of possible starts, for each kind of repeat."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
-        b = Block(r.lens, r.data, words)
-        at, keys = b.cover_keys(length, buckets)
-        order, new, kind = once(keys)
-        yes = read_bits(len(keys), order, new, kind, (keys >> np.uint64(32)).astype(np.int64), dict(zip(right.bucket, right.bits)))
-        may = np.zeros(len(b.text) + 1, np.int32)
-        np.add.at(may, np.maximum(at[yes] - v + 1, 0), 1)
-        np.add.at(may, at[yes] + 1, -1)
-        may = np.flatnonzero(np.cumsum(may[:-1]) > 0)
-        may = b.fits(may, length)
-        doc = np.searchsorted(b.end, may, "right")
-        held = np.unique(doc)
-        rows = [finished(k, b.raw[s:e].tobytes(), None, with_text) for i, (k, s, e) in enumerate(zip(r["keys"], b.raw_begin, b.raw_end)) if not len(held) or held[min(np.searchsorted(held, i), len(held) - 1)] != i]
+        b, replies = Block(r.lens, r.data), dict(zip(right.bucket, right.bits))
+        starts, docs = [], []
+        for rep, first, buckets in plan:
+            v, _ = cover(rep.length)
+            view = b.view(rep.words)
+            at, keys = view.cover_keys(rep.length, buckets)
+            order, new, kind = once(keys)
+            yes = read_bits(len(keys), order, new, kind, (keys >> np.uint64(32)).astype(np.int64) + first, replies)
+            may = np.zeros(len(view.text) + 1, np.int32)
+            np.add.at(may, np.maximum(at[yes] - v + 1, 0), 1)
+            np.add.at(may, at[yes] + 1, -1)
+            starts.append(view.fits(np.flatnonzero(np.cumsum(may[:-1]) > 0), rep.length))
+            docs.append(np.searchsorted(view.end, starts[-1], "right"))
+        held = np.unique(np.concatenate(docs))
+        keeps = np.ones(len(b.end), bool)
+        keeps[held] = False
+        names, texts = list(r["keys"]), list(b.texts())
+        rows = [finished(names[i], texts[i], [], with_text) for i in np.flatnonzero(keeps)]
         if not len(held):
-            return result_frame(rows, dict.fromkeys(["block", "keys", "lens", "data", "zones"])).iloc[:-1]
-        lens = (b.end - b.begin)[held]
-        moved = np.zeros(len(b.end), np.int64)
-        moved[held] = b.begin[held] - (np.cumsum(lens) - lens)
-        may = may - moved[doc]
-        edge = np.flatnonzero(np.append(True, np.diff(may) != 1))
-        zones = np.stack([may[edge], may[np.append(edge[1:], len(may)) - 1] + 1])
-        data = Block.pack([b.raw[b.raw_begin[i] : b.raw_end[i]].tobytes() for i in held])
-        names = list(r["keys"])
-        return result_frame(rows, {"block": int(r.block), "keys": [names[i] for i in held], "lens": (b.raw_end - b.raw_begin)[held].tolist(), "data": data, "zones": zones.astype("<i8").tobytes()})
+            return result_frame(rows)
+        zones = []
+        for (rep, _, _), may, doc in zip(plan, starts, docs):
+            view = b.view(rep.words)
+            lens = (view.end - view.begin)[held]
+            moved = np.zeros(len(view.end), np.int64)
+            moved[held] = view.begin[held] - (np.cumsum(lens) - lens)
+            may = may - moved[doc]
+            edge = np.flatnonzero(np.append(True, np.diff(may) != 1)) if len(may) else np.zeros(0, int)
+            zones.append(np.stack([may[edge], may[np.append(edge[1:], len(may)) - 1] + 1] if len(may) else [edge, edge]).astype("<i8").tobytes())
+        return result_frame(rows, {"block": int(r.block), "keys": [names[i] for i in held], "lens": (b.end - b.begin)[held].tolist(), "data": Block.pack([texts[i] for i in held]), "zones": zones})
 
     return run
 
@@ -327,111 +394,101 @@ def zone_positions(zones: bytes) -> np.ndarray:
     return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def suffix_pairs(table: DataFrame, length: int, buckets: int, wave: range, words: bool = False) -> DataFrame:
+def suffix_pairs(table: DataFrame, plan: Plan, wave: int, waves: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                one, two, own = suffix_keys(Block(r.lens, r.data, words), r.zones, length, buckets, wave)[1:]
-                order, new, _ = once(one, two)
-                at = order[new]
-                one, two, own = one[at].astype("<u8"), two[at].astype("<u4"), own[at]
-                edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
-                yield pd.DataFrame({"bucket": own[edge], "block": r.block, "keys": [one[a:b].tobytes() + two[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(own)))]})
+                b = Block(r.lens, r.data)
+                for (rep, first, buckets), zones in zip(plan, r.zones):
+                    one, two, own = suffix_keys(b.view(rep.words), zones, rep.length, buckets, wave, waves)[1:]
+                    order, new, _ = once(one, two)
+                    at = order[new]
+                    one, two, own = one[at].astype("<u8"), two[at].astype("<u4"), own[at]
+                    lo, hi = runs_of(own)
+                    yield pd.DataFrame({"bucket": own[lo] + first, "block": r.block, "keys": [one[x:y].tobytes() + two[x:y].tobytes() for x, y in zip(lo, hi)]})
 
     return table.mapInPandas(run, "bucket long, block long, keys binary")
 
 
-def suffix_keys(b: Block, zones: bytes, length: int, buckets: int, wave: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def suffix_keys(view: View, zones: bytes, length: int, buckets: int, wave: int, waves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the suffixes whose bucket is in the wave: position, 64 and 32 bits of key, bucket."""
     at = zone_positions(zones)
-    one = window_hash(b.text, at, length, 0)
+    one = window_hash(view.text, at, length, 0)
     own = bucket_of(one, buckets)
-    now = (own >= wave.start) & (own < wave.stop)
+    now = own * waves // buckets == wave
     at = at[now]
-    return at, one[now], (window_hash(b.text, at, length, 1) >> np.uint64(32)).astype(np.uint32), own[now]
+    return at, one[now], (window_hash(view.text, at, length, 1) >> np.uint64(32)).astype(np.uint32), own[now]
 
 
-def spans(length: int, buckets: int, waves: list[range], with_text: bool, words: bool = False):
+def spans(plan: Plan, waves: int, with_text: str):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         r = left.iloc[0]
-        b = Block(r.lens, r.data, words)
-        replies = dict(zip(right.bucket, right.bits))
-        cover_n = np.zeros(len(b.text) + 1, np.int32)
-        for wave in waves:
-            at, one, two, own = suffix_keys(b, r.zones, length, buckets, wave)
-            order, new, kind = once(one, two)
-            at = at[read_bits(len(at), order, new, kind, own, replies)]
-            cover_n[at] += 1  # positions are distinct
-            cover_n[at + length] -= 1
-        mark = np.cumsum(cover_n[:-1]) > 0
-        return result_frame([finished(k, b.raw[s:e].tobytes(), b.in_bytes(mark, i), with_text) for i, (k, s, e) in enumerate(zip(r["keys"], b.raw_begin, b.raw_end))])
+        b, replies, marks = Block(r.lens, r.data), dict(zip(right.bucket, right.bits)), []
+        for (rep, first, buckets), zones in zip(plan, r.zones):
+            view = b.view(rep.words)
+            depth = np.zeros(len(view.text) + 1, np.int32)
+            for wave in range(waves):
+                at, one, two, own = suffix_keys(view, zones, rep.length, buckets, wave, waves)
+                order, new, kind = once(one, two)
+                at = at[read_bits(len(at), order, new, kind, own + first, replies)]
+                depth[at] += 1  # positions are distinct
+                depth[at + rep.length] -= 1
+            marks.append((view, np.cumsum(depth[:-1]) > 0))
+        return result_frame([finished(k, t, [view.in_bytes(m, i) for view, m in marks], with_text) for i, (k, t) in enumerate(zip(r["keys"], b.texts()))])[[x.split()[0] for x in DONE.split(", ")]]
 
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now: it does so when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+def repeated_spans(
+    docs: DataFrame, key: str = "doc_id", *, repeats: Sequence[Repeat] = (BYTES,), with_text: str = "none", block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, wave_share: float = 0.6, least_wave: int = 64 << 20
+) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 (by the first of the repeats) and n_cut, text (by all of them) for every row of docs (key, text).
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", *, length: int = LENGTH, words: bool = False, with_text: bool = False, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, wave_share: float = 0.6, least_wave: int = 64 << 20) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (key, text); words: length counts words, not bytes; with_text, also the kept bytes and the removed runs of documents that lose any.
-
-    wave_share: bytes of suffix keys on disk at once, as a share of the text's; least_wave: bytes below which there is no point in several waves.
+    with_text: "none", "changed" (null for documents that lose nothing) or "all". wave_share: bytes of suffix keys on
+    disk at once, as a share of the text's; least_wave: bytes below which there is no point in several waves.
     """
-    spark = docs.sparkSession
     table = _io.stored(blocks(docs, key, block_bytes), "blocks", "uncompressed")
     n = table.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    v, residues = cover(length)
-    buckets = max(4, -(-n * len(residues) // v // (2 * bucket_keys)))
-    replies = asked(cover_pairs(table, length, buckets, words), ("<u4",), "cover-ranks")
-    release(spark)
-    mixed = table.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(candidates(length, buckets, with_text, words), f"{DONE}, {BLOCK}")
+    share = [len(cover(r.length)[1]) / cover(r.length)[0] / (6 if r.words else 1) for r in repeats]  # cover positions a byte; words have about six
+    plan = Plan.of(repeats, [max(4, math.ceil(n * x / (2 * bucket_keys))) for x in share])
+    replies = asked(cover_pairs(table, plan), ("<u4",), "cover-ranks")
+    mixed = table.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(candidates(plan, with_text), f"{DONE}, {BLOCK}")
     mixed = _io.stored(mixed, "candidates")
-    release(spark)
+    _io.drop(table)
+    _io.drop(replies)
     rest = mixed.where("block IS NOT NULL").select("block", "keys", "lens", "data", "zones")
-    tests = rest.mapInPandas(lambda frames: (pd.DataFrame({"n": [int(np.diff(np.frombuffer(z, "<i8").reshape(2, -1), axis=0).sum()) for z in f.zones]}) for f in frames), "n long").agg(F.sum("n")).first()[0] or 0
-    n_waves = max(1, -(-12 * tests // max(least_wave, int(n * wave_share))))
-    each = max(4, -(-tests // n_waves // bucket_keys))
-    waves = [range(i * each, (i + 1) * each) for i in range(n_waves)]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([[int(np.diff(np.frombuffer(z, "<i8").reshape(2, -1), axis=0).sum()) for z in zones] for zones in f.zones], columns=[f"n{i}" for i in range(len(repeats))])
+
+    sums = [f"n{i}" for i in range(len(repeats))]
+    tests = [x or 0 for x in rest.select("zones").mapInPandas(count, ", ".join(f"{c} long" for c in sums)).agg(*[F.sum(c) for c in sums]).first()]
+    waves = max(1, -(-12 * sum(tests) // max(least_wave, int(n * wave_share))))
+    plan = Plan.of(repeats, [waves * max(1, math.ceil(x / waves / bucket_keys)) for x in tests])
     told = None
-    for wave in waves:
-        part = asked(suffix_pairs(rest, length, n_waves * each, wave, *[True] * words), ("<u8", "<u4"), "suffix-bits")
+    for wave in range(waves):
+        part = asked(suffix_pairs(rest, plan, wave, waves), ("<u8", "<u4"), "suffix-bits")
         told = part if told is None else told.unionAll(part)
-        release(spark)
-    found = rest.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(spans(length, n_waves * each, waves, with_text, words), DONE)
+    found = rest.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(spans(plan, waves, with_text), DONE)
     out = mixed.where("block IS NULL").select(found.columns).unionAll(found).withColumnRenamed("key", key)
-    return out if with_text else out.drop("kept", "starts", "ends")
+    return out if with_text != "none" else out.drop("n_cut", "text")
 
 
-def dedup_texts(docs: DataFrame, words: int | None = None, **options) -> DataFrame:
-    """docs (doc_id, text, any others) without their repeated strings; n_chars, where there is one, follows the text. words: repeated runs of so many words go too."""
+def dedup_texts(docs: DataFrame, repeats: Sequence[Repeat] = (BYTES, PASSAGE), **options) -> DataFrame:
+    """docs (doc_id, text, any others) without their repeated strings; n_chars, where there is one, follows the text."""
     docs, key = _io.named(docs)
-    runs = lambda **more: _io.stored(repeated_spans(docs, key, with_text=True, **options | more).where("n_removed > 0").select(F.col(key).alias("_key"), "starts", "ends"), "spans")
-    changed = runs()
-    if words:
-        changed = changed.unionAll(runs(length=words, words=True))
-    changed = changed.groupBy("_key").agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("ends")).alias("_ends"))
-    out = docs.join(changed, docs[key] == changed["_key"], "left")
-    whole = F.udf(without, "string")
-    out = out.withColumn("_kept", F.when(F.col("_key").isNotNull(), whole(F.col("text").cast("string"), "_starts", "_ends")))
-    text = F.when(F.col("_key").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    cols = {"text": text} | ({"n_chars": F.when(F.col("_key").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns if c != "_row"])
-
-
-def without(text: str | None, starts: list[int] | None, ends: list[int] | None) -> str | None:
-    """Text less the bytes of the spans, which may overlap; a cut may leave part of a character, which goes too."""
-    if starts is None:
-        return text
-    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
-    for a, b in sorted(zip(starts, ends)):
-        if a > at:
-            out.append(raw[at:a])
-        at = max(at, b)
-    return b"".join([*out, raw[at:]]).decode(errors="ignore")
+    name, text = _io.fresh(docs, "_name"), _io.fresh(docs, "_kept")
+    changed = repeated_spans(docs, key, repeats=repeats, with_text="changed", **options).where("n_cut > 0")
+    changed = _io.stored(changed.select(F.col(key).alias(name), F.col("text").alias(text)), "changed-texts")
+    out = docs.join(changed, F.col(key) == F.col(name), "left")
+    new = F.col(name).isNotNull()
+    cols = {"text": F.when(new, F.col(text)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(new, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns if c != key or key == "doc_id"])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(_io.table(spark, sf_dir, "documents"))
+    """The contract's columns by 400 bytes; after them text, the document less its repeats of 400 bytes or of 51 words, and n_cut, the bytes that it lost by both."""
+    return repeated_spans(_io.table(spark, sf_dir, "documents"), repeats=(BYTES, PASSAGE), with_text="all")

@@ -48,15 +48,16 @@ def test_matches_brute_force(spark, seed, length):
     texts = corpus(rnd, length)
     rows = [(i if i != 9 else None, t, 1, b"") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes int, block binary").repartition(5)
-    got = S.repeated_spans(docs, length=length, with_text=True, block_bytes=3000, bucket_keys=500).collect()
+    got = S.repeated_spans(docs, repeats=[S.Repeat(length)], with_text="changed", block_bytes=3000, bucket_keys=500).collect()
     want = [(i if i != 9 else -1, *w) for i, w in enumerate(brute([(t or "").encode() for t in texts], length))]
     have = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got]
     assert sorted(have) == sorted(w[:5] for w in want)
     kept = {w[0]: w[5] for w in want}
     for r in got:
         if r.n_removed:
-            assert bytes(r.kept) == kept[-1 if r.doc_id is None else r.doc_id] and len(r.starts) == r.n_spans
-            assert sum(r.ends) - sum(r.starts) == r.n_removed
+            assert r.text == kept[-1 if r.doc_id is None else r.doc_id].decode(errors="ignore") and r.n_cut == r.n_removed
+        else:
+            assert r.text is None
 
 
 def test_several_waves(spark, monkeypatch):
@@ -65,8 +66,8 @@ def test_several_waves(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     seen = []
     real = S.suffix_pairs
-    monkeypatch.setattr(S, "suffix_pairs", lambda *a: seen.append(a[3]) or real(*a))
-    got = S.repeated_spans(docs, length=40, block_bytes=5000, bucket_keys=300, wave_share=0, least_wave=5_000).collect()
+    monkeypatch.setattr(S, "suffix_pairs", lambda *a: seen.append(a[2]) or real(*a))
+    got = S.repeated_spans(docs, repeats=[S.Repeat(40)], block_bytes=5000, bucket_keys=300, wave_share=0, least_wave=5_000).collect()
     assert len(seen) > 3
     assert sorted(tuple(r) for r in got) == sorted((i, *w[:4]) for i, w in enumerate(brute([(t or "").encode() for t in texts], 40)))
 
@@ -79,9 +80,9 @@ def test_covers():
 def test_dedup_texts_and_empty(spark):
     s = "é" * 100
     docs = spark.createDataFrame([(1, "a" + s, "x", 101), (2, "b" + s + "c", "x", 102), (3, None, "y", None), (4, "own", "y", 3)], "doc_id long, text string, source string, n_chars long")
-    got = {r.doc_id: r for r in S.dedup_texts(docs, length=50).collect()}
+    got = {r.doc_id: r for r in S.dedup_texts(docs, [S.Repeat(50)]).collect()}
     assert {k: (r.text, r.n_chars) for k, r in got.items()} == {1: ("a", 1), 2: ("bc", 2), 3: (None, None), 4: ("own", 3)}
-    again = S.dedup_texts(docs.unionAll(docs.where("doc_id = 4")), length=50)
+    again = S.dedup_texts(docs.unionAll(docs.where("doc_id = 4")), [S.Repeat(50)])
     assert again.columns == docs.columns and again.count() == 5
     assert S.repeated_spans(docs.limit(0)).count() == 0
 
@@ -118,9 +119,9 @@ def test_words_match_brute_force(spark, seed, length):
     texts += texts[8:12]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     raw = [(t or "").encode() for t in texts]
-    got = {r.doc_id: r for r in S.repeated_spans(docs, length=length, words=True, with_text=True, block_bytes=2000, bucket_keys=300).collect()}
+    got = {r.doc_id: r for r in S.repeated_spans(docs, repeats=[S.Repeat(length, words=True)], with_text="all", block_bytes=2000, bucket_keys=300).collect()}
     for i, (t, want) in enumerate(zip(raw, brute_words(raw, length))):
-        assert (t if got[i].kept is None else bytes(got[i].kept)) == want and got[i].n_removed == len(t) - len(want)
+        assert got[i].text.encode() == want and got[i].n_removed == got[i].n_cut == len(t) - len(want)
     assert sum(r.n_removed > 0 for r in got.values()) > 10
 
 
@@ -128,8 +129,29 @@ def test_stage_cuts_short_passages_of_many_words(spark):
     rnd = random.Random(1)
     some = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
     p, q = some(51), some(50)
-    assert len(p) < S.LENGTH
+    assert len(p) < S.BYTES.length
     texts = [f"{some(40)} {x} {some(40)}" for x in (p, p, q, q)]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
     got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
     assert [got[i].text for i in range(4)] == [t.replace(p, "") for t in texts] and got[0].n_chars == len(got[0].text)
+
+
+def test_both_kinds_in_one_pass(spark):
+    """The counts and the digest follow the bytes alone; the text loses what either kind marks."""
+    rnd = random.Random(4)
+    texts = corpus(rnd, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    raw = [(t or "").encode() for t in texts]
+    both = {r.doc_id: r for r in S.repeated_spans(docs, repeats=[S.Repeat(40), S.Repeat(3, words=True)], with_text="all", block_bytes=3000, bucket_keys=200).collect()}
+    for i, (b, w) in enumerate(zip(brute(raw, 40), brute_words(raw, 3))):
+        assert (both[i].n_bytes, both[i].n_removed, both[i].n_spans, both[i].kept_sha256) == b[:4]
+        assert both[i].n_cut >= max(b[1], len(raw[i]) - len(w)) and len(both[i].text.encode()) <= min(len(b[4]), len(w))
+
+
+def test_clashing_columns_and_shared_ids(spark):
+    s = "x" * 60
+    rows = [(1, "a" + s, 7, 8, 9, 3), (1, "b" + s, 7, 8, 9, 3), (None, "c", 1, 2, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, _key int, _kept int, _name int")
+    got = S.dedup_texts(docs, [S.Repeat(50)])
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.where("doc_id = 1").collect()) == [(1, "a", 7, 8, 9, 3), (1, "b", 7, 8, 9, 3)]
+    assert got.where("doc_id IS NULL").first() == docs.where("doc_id IS NULL").first()
