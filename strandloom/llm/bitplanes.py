@@ -92,6 +92,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = tokens.WO
                 raise ValueError(f"an id needs more than {width} bytes")
             shard = np.where(f.doc_id.isna(), 0, np.searchsorted(bounds, f.doc_id.fillna(0).to_numpy(np.int64), "left"))
             yield pd.DataFrame({"shard": shard, "doc_id": f.doc_id.astype("Int64"), "n": [len(x) for x in got], "ids": [x.astype(f"<u{width}").tobytes() for x in got]})
+        encode.forget()
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, chunk, held, names, lens = None, 0, [], [], []

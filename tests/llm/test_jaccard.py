@@ -43,7 +43,7 @@ def test_groups_match_brute_force(spark):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
         root = brute_groups(texts)
         groups = {}
-        for r in J.near_duplicates(docs, sample=sample, **{} if seed else {"wave_bytes": 60_000}).collect():
+        for r in J.near_duplicates(docs, sample=sample, **{"split": 4} if seed else {"wave_bytes": 60_000}).collect():
             groups.setdefault(r.root, set()).add(r.doc_id)
         want = {}
         for i, r in enumerate(root):

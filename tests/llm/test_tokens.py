@@ -21,6 +21,6 @@ def test_units_give_the_library_s_ids(name):
 
 
 def test_memo_stays_bounded():
-    own = type(encoder(WORD_FILE))(public_tokenizers.path(WORD_FILE), limit=10, together=2)
+    own = type(encoder(WORD_FILE))(public_tokenizers.path(WORD_FILE), limit=10, group_bytes=4)
     list(own(f"w{i} v{i} u{i}" for i in range(50)))
     assert max(len(own.seen.new), len(own.seen.old)) <= 17
