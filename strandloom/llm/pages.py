@@ -2,10 +2,11 @@
 
 1. Each page becomes text lines, one for a block, each with a zone: main (inside article or main), chrome (menus,
    headers, footers, sidebars, notices, adverts, forms, comments, by tag, class, id or role) or open (neither).
-2. Pages are sorted by host and URL path over all tasks, so the nearest URL of a page on its host is a neighbour. The
-   lines outside the main zone are aligned with the nearest page's by longest common subsequence, and shared ones are
-   deleted: what two neighbouring pages share is their host's frame.
-3. A page with a main zone is that zone's lines; any other is its open lines less the deleted ones.
+2. Pages are sorted by host and URL path over all tasks, so the nearest URL of a page on its host is a neighbour; each
+   task also sees the pages just outside its range. The lines outside the main zone are aligned with the nearest
+   page's by longest common subsequence, and shared ones are deleted: what two neighbouring pages share is their
+   host's frame.
+3. A page with text in a main zone is that zone's lines; any other is its open lines less the deleted ones.
 
 Lines of the main zone are not deleted for being shared: articles on one host do repeat passages, and even whole
 articles, and those belong to the text.
@@ -18,13 +19,14 @@ empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import _io
@@ -71,13 +73,13 @@ def zone_of(tag: str, attributes: str, parent: int) -> int:
 
 
 def lines_of(page: str | None) -> tuple[list[str], list[int], bool]:
-    """The text lines of a page, their zones, and whether it has a main zone."""
+    """The text lines of a page, their zones, and whether it has a main zone with text."""
     page = page or ""
     lines: list[str] = []
     zones: list[int] = []
     stack: list[tuple[str, int]] = []
     text: dict[int, list[str]] = {}
-    zone, has_main, at = OPEN, False, 0
+    zone, at = OPEN, 0
 
     def flush() -> None:
         for z, runs in text.items():
@@ -124,12 +126,11 @@ def lines_of(page: str | None) -> tuple[list[str], list[int], bool]:
                     if name in BLOCKS and (not stop or name in stop):
                         break
             zone = zone_of(tag, found[3], stack[-1][1] if stack else OPEN)
-            has_main |= zone == MAIN
             stack.append((tag, zone))
         zone = stack[-1][1] if stack else OPEN
     run(page[at:])
     flush()
-    return lines, zones, has_main
+    return lines, zones, MAIN in zones
 
 
 def common_lines(a: list[str], b: list[str]) -> list[int]:
@@ -198,84 +199,85 @@ def shared_prefix(a: str, b: str) -> int:
     return n
 
 
-def by_url(pages: DataFrame) -> DataFrame:
-    """page_id, url, html with host (lower case) and path (all that follows it), range-partitioned and sorted by them."""
+ORDER = ["host", "path", "page_id", "html"]
+RESULT = "page_id long, url string, text string, n_chars long, n_shared long"
+
+
+def addressed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host (lower case), path (all that follows it), html."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://", "")
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
-    own = own.withColumn("host", F.lower(host)).withColumn("path", F.substring(rest, F.length(host) + 1, F.length(rest)))
-    order = ["host", "path", "page_id"]
-    return own.repartitionByRange(_io.parts(pages.sparkSession), *order).sortWithinPartitions(*order)
+    return own.select("page_id", "url", F.lower(host).alias("host"), F.substring(rest, F.length(host) + 1, F.length(rest)).alias("path"), "html")
+
+
+def cut_in_ranges(rows: DataFrame, ranges: int) -> DataFrame:
+    """Adds part: the range, by host, path and page_id, that a row falls into. The first row of each range comes to the driver, without its html."""
+    light = rows.select("host", "path", "page_id").repartitionByRange(ranges, "host", "path", "page_id")
+    first = light.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("host", "path", "page_id")).alias("x")).select("x.*").collect()
+    key = lambda host, path, page: (host, path, not pd.isna(page), 0 if pd.isna(page) else int(page))
+    begins = sorted(key(*r) for r in first)[1:]
 
+    @F.pandas_udf("int")
+    def part(host: pd.Series, path: pd.Series, page_id: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(begins, key(*r)) for r in zip(host, path, page_id)], dtype="int32")
 
-RESULT = ["page_id", "url", "text", "n_chars", "n_shared"]
-EDGE = ["html", "host", "path", "task", "place", "decide"]
+    return rows.withColumn("part", part("host", "path", "page_id"))
+
+
+def with_neighbours(rows: DataFrame) -> DataFrame:
+    """rows with part; the last row of the range before and the first of the range after are added to each range, as rows with shown = false. A range without rows does not count as one."""
+    whole = F.struct(*ORDER)
+    ends = rows.groupBy("part").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))
+    order = Window.orderBy("part")  # a row for each range
+    near = ends.select("part", F.lag("last").over(order).alias("a"), F.lead("first").over(order).alias("b"))
+    near = near.select("part", F.explode(F.array("a", "b")).alias("x")).where("x IS NOT NULL").select("x.page_id", F.lit(None).cast("string").alias("url"), "x.host", "x.path", "x.html", "part", F.lit(False).alias("shown"))
+    return rows.withColumn("shown", F.lit(True)).select("page_id", "url", "host", "path", "html", "part", "shown").unionAll(near)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared (lines deleted because the nearest page has them) for every page.
 
-    A task passes its first and last two pages on as well; the first and the last are decided afterwards, when the
-    pages at all edges pass in order, so that a neighbour in another task counts like any other.
+    Pages are dealt out in ranges of their order by host, path and page_id, and each range also gets the page before it and
+    the page after it, so every page meets its nearest one, however the ranges are cut.
     """
 
-    def texts(frames: Iterator[pd.DataFrame], edges: bool) -> Iterator[pd.DataFrame]:
+    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pages_of():
             for f in frames:
                 for r in f.itertuples():
                     lines, zones, has_main = lines_of(r.html)
                     yield r, lines, zones, has_main, [i for i, z in enumerate(zones) if z != MAIN]
 
-        def result(now, other):
+        def result(now, ends):
             r, lines, zones, has_main, outer = now
+            ends = [p for p in ends if p is not None and p[0].part == r.part and p[0].host == r.host]
+            other = max(ends, key=lambda p: shared_prefix(p[0].path, r.path), default=None)
             shared = set()
             if other is not None and outer:
                 shared = {outer[i] for i in common_lines([lines[i] for i in outer], [other[1][i] for i in other[4]])}
             kept = [x for i, (x, z) in enumerate(zip(lines, zones)) if (z == MAIN if has_main else z == OPEN and i not in shared)]
             text = "\n".join(kept)
-            return (None if pd.isna(r.page_id) else int(r.page_id), r.url, text, len(text), len(shared))
-
-        def nearest(before, now, after):
-            ends = [p for p in (before, after) if p is not None and p[0].host == now[0].host]
-            return max(ends, key=lambda p: shared_prefix(p[0].path, now[0].path), default=None)
+            return None if pd.isna(r.page_id) else int(r.page_id), r.url, text, len(text), len(shared)
 
         def frame(out):
-            return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c in ("page_id", "n_chars", "n_shared", "task", "place")})
-
-        def edge(page, place, decide):
-            r = page[0]
-            return (None if pd.isna(r.page_id) else int(r.page_id), r.url, None, None, None, r.html, r.host, r.path, task, place, decide)
-
-        def decided(i, before, now, after):
-            """Rows of a page: its result, or in a first pass what is passed on of it."""
-            if not edges:
-                return [result(now, nearest(before, now, after))] if now[0].decide else []
-            if i == 0 or after is None:
-                return [edge(now, i, True)]
-            return [(*result(now, nearest(before, now, after)), *[None] * len(EDGE)), *([edge(now, i, False)] if i == 1 else [])]
-
-        names = RESULT + EDGE if edges else RESULT
-        task = TaskContext.get().partitionId()
+            names = [x.split()[0] for x in RESULT.split(", ")]
+            return pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "n_chars": "Int64", "n_shared": "Int64"})
+
         before = now = None
-        i, out = -1, []
-        for after in pages_of():
-            if now is not None:
-                out += decided(i, before, now, after)
-            before, now, i = now, after, i + 1
+        out = []
+        for after in itertools.chain(pages_of(), [None]):
+            if now is not None and now[0].shown:
+                out.append(result(now, (before, after)))
+            before, now = now, after
             if len(out) >= 500:
                 yield frame(out)
                 out = []
-        if now is not None:
-            if edges and i > 2:  # the last but one; the second is passed on already
-                out.append(edge(before, i - 1, False))
-            out += decided(i, before, now, None)
         yield frame(out)
 
-    kinds = "page_id long, url string, text string, n_chars long, n_shared long"
-    got = by_url(pages).mapInPandas(lambda frames: texts(frames, True), f"{kinds}, html string, host string, path string, task long, place long, decide boolean")
-    got = _io.stored(got, "page-texts")
-    edges = got.where("task IS NOT NULL").select("page_id", "url", *EDGE).repartition(1).sortWithinPartitions("task", "place")
-    return got.where("task IS NULL").select(RESULT).unionAll(edges.mapInPandas(lambda frames: texts(frames, False), kinds))
+    n = _io.parts(pages.sparkSession)
+    rows = with_neighbours(cut_in_ranges(addressed(pages), n))
+    return rows.repartition(n, "part").sortWithinPartitions("part", *ORDER, "shown").mapInPandas(texts, RESULT)
 
 
 def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
