@@ -2,11 +2,13 @@
 
 Components x become floor(scale * x). Candidates are packed into blocks in vertical layout (a matrix of dimensions by
 vectors); queries into blocks of their own. Every pair of a query block and a candidate block is one unit of work,
-keyed for the shuffle, so no task holds more than one block of each kind. In it, dimensions are ordered by the
-candidates' energy and taken a few at a time: after each slice, what the remaining dimensions can add is bounded by
-the product of remaining norms, candidates that no query can still want are compacted away, and the rest goes on. The
-first slices set each query's k-th lower bound; the last survivors' sums are exact. Each unit emits at most k rows a
-query, ranked once more over all blocks.
+keyed for the shuffle, so no task holds more than one block of each kind. In it, like queries form small groups, and
+dimensions are ordered by the group's and the candidates' energy and taken a few at a time: after each slice, what the
+remaining dimensions can add is bounded by the product of remaining norms, a query drops each candidate that can't reach
+its k-th best any more, and candidates that no query of the group wants are compacted away. Once few pairs are left, each
+goes on alone. A query's bound to beat comes from one block searched before the others, and is raised by the full scores
+of its best candidates half way. The last survivors' sums are exact. Each unit emits at most k rows a query, ranked once
+more over all blocks.
 
 The arithmetic is exact: sums that could pass 2**53 go through Python integers instead of doubles. A score beyond a
 long is held at its end.
@@ -34,6 +36,9 @@ from strandloom.llm import _io
 SCALE = 1024
 CANDIDATES, QUERIES = 4096, 512  # vectors in a block
 SLICE = 8  # dimensions summed between two bounds
+GROUP = 32  # queries that share a compacted block
+PROMISING = 16  # times k: candidates of a query summed whole half way, for its bound
+ALONE = 0.03  # share of pairs left from which each pair goes on alone
 EXACT = float(1 << 53)
 PACKED = "block long, n long, dims int, ids binary, data binary, kind string"
 
@@ -67,8 +72,26 @@ def _unpack(n: int, dims: int, ids: bytes, data: bytes, kind: str) -> tuple[np.n
     return np.frombuffer(ids, np.int64), np.frombuffer(data, kind).reshape(dims, n)
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, step: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """q, c: dims x vectors. Yields (query index, candidate indices, scores): a superset of the k best, exact."""
+def like_groups(q: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Indices of the queries (columns) in groups of at most so many, each with its likes: sorted by the nearest of a few queries far from each other."""
+    n = q.shape[1]
+    if n > size:
+        unit = q / np.maximum(np.sqrt((q * q).sum(0)), 1e-300)
+        near, best, own = np.full(n, -np.inf), np.zeros(n, np.int64), 0
+        for i in range(-(-n // size)):
+            like = unit[:, own] @ unit
+            best[like > near] = i
+            near = np.maximum(near, like)
+            own = int(near.argmin())
+        order = np.argsort(best, kind="stable")
+    else:
+        order = np.arange(n)
+    for at in range(0, n, size):
+        yield order[at : at + size]
+
+
+def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, step: int = SLICE, floor: np.ndarray | None = None, trace: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """q, c: dims x vectors. Yields (query index, candidate indices, scores): the k best that reach floor, exact. trace gets (dims summed, pairs left, all pairs) for each group and slice."""
     dims = min(len(q), len(c))
     q, c = q[:dims], c[:dims]
     if q.dtype == object or c.dtype == object or float(np.abs(q, dtype=np.float64).max(initial=0)) * float(np.abs(c, dtype=np.float64).max(initial=0)) * dims >= EXACT / 4:
@@ -80,31 +103,64 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
             yield i, np.array(own, np.int64), np.array([held[j] for j in own], np.int64)
         return
     q, c = q.astype(np.float64), c.astype(np.float64)
-    order = np.argsort(-(c * c).sum(1), kind="stable")
+    least = np.full(q.shape[1], -np.inf) if floor is None else floor.astype(np.float64)
+    for group in like_groups(q, GROUP):
+        own = q[:, group]
+        i, j, score = survivors(own, q_ids[group], c, c_ids, k, step, least[group], trace)
+        for at in range(len(group)):
+            mine = i == at
+            js, ss = j[mine], score[mine]
+            if len(js) > k:
+                keep = ss >= np.partition(ss, len(ss) - k)[len(ss) - k]  # all ties of the k-th
+                js, ss = js[keep], ss[keep]
+            order = np.lexsort((c_ids[js], -ss))[:k]
+            yield int(group[at]), js[order], ss[order].astype(np.int64)
+
+
+def survivors(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, step: int, least: np.ndarray, trace: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of all pairs that may be among a query's k best; scores are whole."""
+    dims, all_pairs = len(q), q.shape[1] * c.shape[1]
+    order = np.argsort(-(c * c).sum(1) * (q * q).sum(1), kind="stable")
     q, c = np.ascontiguousarray(q[order]), np.ascontiguousarray(c[order])
-    q_rest = np.sqrt(np.append(np.cumsum((q * q)[::-1], 0)[::-1], np.zeros((1, q.shape[1])), 0))
-    c_rest = np.sqrt(np.append(np.cumsum((c * c)[::-1], 0)[::-1], np.zeros((1, c.shape[1])), 0))
+    whole = c
+    rest = lambda x: np.sqrt(np.append(np.cumsum((x * x)[::-1], 0)[::-1], np.zeros((1, x.shape[1])), 0)) * (1 + 1e-9)
+    q_rest, c_rest = rest(q), rest(c)
     live = np.arange(c.shape[1])
     part = np.zeros((q.shape[1], len(live)))
-    same = q_ids[:, None] == c_ids[None, :]
-    part[same] = -np.inf  # a query's own row
-    for at in range(0, dims, step):
+    part[q_ids[:, None] == c_ids[None, :]] = -np.inf  # a query's own row
+    at, half = 0, False
+    while at < dims and len(live):
         end = min(at + step, dims)
         part += q[at:end].T @ c[at:end]
-        if len(live) <= k:
-            continue
-        slack = np.outer(q_rest[end], c_rest[end]) * (1 + 1e-9)
-        floor = np.partition(part - slack, len(live) - k, axis=1)[:, len(live) - k]  # the k-th best lower bound
-        wanted = (part + slack >= floor[:, None]).any(0)
-        if wanted.mean() < 0.8:
-            live, part, c, c_rest = live[wanted], np.ascontiguousarray(part[:, wanted]), np.ascontiguousarray(c[:, wanted]), c_rest[:, wanted]
-    for i in range(q.shape[1]):
-        own = np.flatnonzero(np.isfinite(part[i]))
-        if len(own) > k:
-            least = np.partition(part[i][own], len(own) - k)[len(own) - k]
-            own = own[part[i][own] >= least]  # all ties of the k-th
-        own = own[np.lexsort((c_ids[live[own]], -part[i][own]))][:k]
-        yield i, live[own], part[i][own].astype(np.int64)
+        at = end
+        if not half and 2 * at >= dims and len(live) > k:  # full scores of the best so far
+            half = True
+            some = min(len(live), PROMISING * k)
+            top = np.argpartition(part, len(live) - some, axis=1)[:, len(live) - some :]
+            full = part[np.arange(len(top))[:, None], top] + np.einsum("dq,dqk->qk", q[at:], whole[at:][:, live[top]])
+            least = np.maximum(least, np.partition(full, some - k, axis=1)[:, some - k])
+        wanted = part + q_rest[at][:, None] * c_rest[at][None, :] >= least[:, None]
+        part[~wanted] = -np.inf
+        n = int(wanted.sum())
+        if trace is not None:
+            trace.append((at, n, all_pairs))
+        if at < dims and n < ALONE * all_pairs:
+            break
+        any_ = wanted.any(0)
+        if any_.mean() < 0.8:
+            live, part, c, c_rest = live[any_], np.ascontiguousarray(part[:, any_]), np.ascontiguousarray(c[:, any_]), c_rest[:, any_]
+    i, j = np.nonzero(np.isfinite(part))
+    score, j = part[i, j], live[j]
+    whole_rest = rest(whole) if at < dims else None
+    while at < dims and len(i):  # pair by pair
+        end = min(at + step, dims)
+        score = score + np.einsum("dp,dp->p", q[at:end][:, i], whole[at:end][:, j])
+        at = end
+        wanted = score + q_rest[at][i] * whole_rest[at][j] >= least[i]
+        i, j, score = i[wanted], j[wanted], score[wanted]
+        if trace is not None:
+            trace.append((at, len(i), all_pairs))
+    return i, j, score
 
 
 def blocks(vectors: DataFrame, size: int, scale: int) -> DataFrame:
@@ -139,7 +195,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = S
     # stored: a block keeps its number and its rows whatever is computed again later
     cand = _io.stored(blocks(pick(vectors).repartition(n), n_candidates, scale), "candidates")
     ask = _io.stored(blocks(pick(queries).repartition(max(1, n // 8)), n_queries, scale), "queries")
-    groups = max(1, cand.count())
+    groups = cand.count()
+    if not groups:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     cand = cand.withColumn("unit", F.pmod(F.xxhash64("block"), F.lit(groups))).select("unit", *[F.col(c).alias("c_" + c) for c in cand.columns])
     # the stated query set against all rows: every query block goes to every group of candidate blocks
     ask = ask.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))).select("unit", *[F.col(c).alias("q_" + c) for c in ask.columns])
@@ -149,11 +207,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = S
             for r in f.itertuples():
                 c_ids, c = _unpack(r.c_n, r.c_dims, r.c_ids, r.c_data, r.c_kind)
                 q_ids, q = _unpack(r.q_n, r.q_dims, r.q_ids, r.q_data, r.q_kind)
-                found = [(i, own, score) for i, own, score in search_block(q, q_ids, c, c_ids, k) if len(own)]
+                floor = np.frombuffer(r.q_floor, "<f8") if r.q_floor else None
+                found = [(i, own, score) for i, own, score in search_block(q, q_ids, c, c_ids, k, floor=floor) if len(own)]
                 if found:
                     i = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
                     yield pd.DataFrame({"block": r.q_block, "at": i, "query_id": q_ids[i], "vec_id": c_ids[np.concatenate([x[1] for x in found])], "score": np.concatenate([x[2] for x in found])})
 
+    def first_floor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each query block, the k-th best scores in one block of candidates (minus infinity where there are fewer than k)."""
+        for f in frames:
+            for r in f.itertuples():
+                c_ids, c = _unpack(r.c_n, r.c_dims, r.c_ids, r.c_data, r.c_kind)
+                q_ids, q = _unpack(r.q_n, r.q_dims, r.q_ids, r.q_data, r.q_kind)
+                floor = np.full(len(q_ids), -np.inf)
+                for i, own, score in search_block(q, q_ids, c, c_ids, k):
+                    if len(own) == k and abs(int(score[-1])) < EXACT:
+                        floor[i] = score[-1]
+                yield pd.DataFrame({"q_block": [r.q_block], "q_floor": [floor.astype("<f8").tobytes()]})
+
+    pilot = cand.orderBy(F.desc("c_n"), "c_block").limit(1).drop("unit")
+    one = ask.where("unit = 0").drop("unit").withColumn("c_block", F.lit(pilot.select("c_block").first()[0]))
+    floors = _io.stored(one.join(pilot, "c_block").mapInPandas(first_floor, "q_block long, q_floor binary"), "floors")
+    ask = ask.join(floors, "q_block", "left")
     found = cand.join(ask, "unit").drop("unit").mapInPandas(search, "block long, at long, query_id long, vec_id long, score long")
     best = Window.partitionBy("block", "at").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

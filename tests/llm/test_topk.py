@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from strandloom.llm import topk as T
@@ -35,3 +36,30 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, T.top_k(df, df.where("vec_id = 0"), 10).collect())) == [(0, 1, 5, 1024 * 2048)]
     assert T.top_k(df.limit(0), df.limit(0), 10).count() == 0
+
+
+def test_bounds_drop_pairs_before_the_last_slice():
+    """Vectors around far centres: half way, few pairs are left, and the result is that of all products."""
+    rnd = np.random.default_rng(0)
+    centre = rnd.normal(0, 300, (12, 64))
+    c = np.floor(centre[rnd.integers(0, 12, 3000)].T + rnd.normal(0, 20, (64, 3000)))
+    q, trace = c[:, :100], []
+    found = list(T.search_block(q, np.arange(100), c, np.arange(3000), 10, trace=trace))
+    for i, own, score in found:
+        all_ = q[:, i] @ c
+        all_[i] = -np.inf
+        want = np.lexsort((np.arange(3000), -all_))[:10]
+        assert own.tolist() == want.tolist() and score.tolist() == all_[want].astype(int).tolist()
+    left = lambda d: sum(n for at, n, _ in trace if at == d) / sum(m for at, _, m in trace if at == d)
+    assert sorted(i for i, _, _ in found) == list(range(100)) and left(32) < 0.25 and left(48) < 0.1
+
+
+def test_no_structure_still_drops_pairs():
+    """Directions without structure, with a floor from elsewhere: most pairs go before the last quarter of the dimensions."""
+    rnd = np.random.default_rng(1)
+    c = rnd.normal(0, 1, (64, 4000))
+    c = np.floor(1024 * c / np.sqrt((c * c).sum(0)))
+    trace = []
+    list(T.search_block(c[:, :64], np.arange(64), c, np.arange(4000), 10, trace=trace))
+    left = lambda d: sum(n for at, n, _ in trace if at == d) / sum(m for at, _, m in trace if at == d)
+    assert left(40) < 0.75 and left(48) < 0.3 and left(56) < 0.05
