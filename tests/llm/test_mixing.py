@@ -61,3 +61,35 @@ def test_base_rates_tilt(spark):
 
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def brute_lambda(sizes, target):
+    """lambda of one source by bisection: tokens at rates min(3, exp(lambda size / unit)) are the target."""
+    unit = sum(x * x for x in sizes) / sum(sizes)
+    low, high = -1e4, 1e4
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(x * min(3, math.exp(min(50, mid * x / unit))) for x in sizes) < target else (low, mid)
+    return low, unit
+
+
+def test_documents_are_tilted_by_newton(spark):
+    """Rates differ within a source, follow the dual's solution, and are no single multiplier."""
+    rnd = random.Random(5)
+    rows = [(s, int(rnd.lognormvariate(3, 1)) + 1, 1.0) for s in "aab" for _ in range(300)] + [(None, 7, 1.0)] * 20
+    targets = {"a": 0.4 * sum(x for s, x, _ in rows if s == "a"), "b": 2.2 * sum(x for s, x, _ in rows if s == "b"), None: 3.0 * 7 * 20}
+    sizes = spark.createDataFrame(rows, "source string, size long, base double")
+    got = {r["source"]: (r["lambda"], r["unit"]) for r in M.newton_rates(sizes, spark.createDataFrame(list(targets.items()), "source string, target double")).collect()}
+    assert set(got) == {"a", "b"}  # the third is at its bound
+    for s, (lam, unit) in got.items():
+        own = [x for t, x, _ in rows if t == s]
+        want, u = brute_lambda(own, targets[s])
+        assert math.isclose(lam, want, abs_tol=2e-7) and math.isclose(unit, u, rel_tol=1e-9)
+        rates = [min(3, math.exp(lam * x / unit)) for x in own]
+        assert math.isclose(sum(r * x for r, x in zip(rates, own)), targets[s], rel_tol=1e-6) and max(rates) > 1.5 * min(rates)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 5), 1, 2, 3, 4) for i in range(40)] + [(1, "a", "w", 1, 2, 3, 4)], "doc_id long, source string, text string, _key int, _copies int, _row int, size int")
+    got = M.mix_documents(docs)
+    assert got.columns == docs.columns and set(map(tuple, got.collect())) <= set(map(tuple, docs.collect())) and got.count() > 10
