@@ -5,8 +5,9 @@ fails. A policy is a version name and a set of rules; applying one is a bitwise
 policy needs no second look at the texts. Ablations (what would a policy keep without one of its rules?) come from
 counts over the distinct bit patterns, of which there are at most two to the number of rules.
 
-All of it is DataFrame code: no UDF. Repeated 8-word windows are found by hashing each window once (XXH64 over the
-eight words), and only documents in which a hash comes twice sort their windows.
+All of it is DataFrame code: no UDF. Repeated 8-word windows are found by their 64-bit hashes: XXH64 of each word, combined
+two by two to hashes of two, four and eight words. Only documents in which a hash comes twice sort their windows. Two
+different windows of one document would have to collide to count wrongly.
 
 Defined cases: null text has no words; empty and very long texts are measured whole; a null doc_id is kept as a row;
 repeated rows give repeated rows; an empty table gives none; other columns are ignored, whatever their names.
@@ -64,7 +65,10 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.length(F.regexp_replace("_t", r"[^A-ZÀ-ÖØ-Þ]+", "")).cast("long").alias("n_upper"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
     )
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))
+    out = out.withColumn("_h", F.when(F.size("_w") >= WINDOW, F.transform("_w", lambda x: F.xxhash64(x))))
+    for step in (1, 2, 4):  # hashes of runs of 2 * step words from those of step words
+        left = F.slice("_h", F.lit(1), F.size("_h") - step)
+        out = out.withColumn("_h", F.zip_with(left, F.slice("_h", F.lit(1 + step), F.size("_h") - step), lambda a, b: F.xxhash64(a, b)))
     out = out.select(
         key,
         "n_symbols",
@@ -73,7 +77,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")).alias("_h"),
+        F.coalesce("_h", F.array().cast("array<bigint>")).alias("_h"),
     )
     kept = [c for c in out.columns if c != "_h"]
     pairs = F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -116,7 +120,8 @@ def ablations(ledger_df: DataFrame, version: str, rules: tuple[Rule, ...] = RULE
 
 
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = apply_policy(ledger(_io.table(spark, sf_dir, "documents")), "v1")
+    """The ledger is written once; the policy reads the stored bits and measurements."""
+    out = apply_policy(_io.stored(ledger(_io.table(spark, sf_dir, "documents")), "ledger"), "v1")
     base = F.col("failed").bitwiseAND(mask(BASE)) != 0
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.llm import _io
 from strandloom.llm import rules as R
 
 
@@ -39,7 +40,7 @@ def test_measures_match_brute_force(spark, rows):
 
 
 def test_policies_and_ablations_use_stored_bits(spark, rows):
-    led = R.ledger(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    led = _io.stored(R.ledger(spark.createDataFrame(rows, "doc_id long, text string")), "ledger")
     kept = led.where(F.col("failed").bitwiseAND(R.mask(R.POLICIES["v1"])) == 0).count()
     assert R.apply_policy(led, "v1").where("kept").count() == kept
     got = {r.rule: r for r in R.ablations(led, "v1").collect()}
