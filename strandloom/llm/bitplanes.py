@@ -27,7 +27,8 @@ from strandloom.llm import _io, tokens
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 8 << 20
+TOGETHER = 6  # shards sorted in one task, so that tasks are of about one size
 CHUNKS = "shard long, chunk long, n_ids long, width int, mode string, doc_ids array<long>, doc_lens array<long>, plane_lens array<long>, data binary"
 
 
@@ -116,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = tokens.WO
             yield flush()
 
     rows = docs.mapInPandas(ids, "shard long, doc_id long, n long, ids binary")
-    rows = rows.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", F.crc32("ids"), "n")
+    rows = rows.repartition(-(-(len(bounds) + 1) // TOGETHER), "shard").sortWithinPartitions("shard", "doc_id", F.crc32("ids"), "n")
     with _io.small_batches(docs.sparkSession):
         rows.mapInPandas(pack, CHUNKS).write.option("compression", "uncompressed").parquet(path)
 
