@@ -276,7 +276,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
         yield frame(out)
 
     n = _io.parts(pages.sparkSession)
-    rows = with_neighbours(cut_in_ranges(addressed(pages), n))
+    rows = with_neighbours(cut_in_ranges(addressed(pages), 4 * n))  # several ranges a task, so that tasks are of about one size
     return rows.repartition(n, "part").sortWithinPartitions("part", *ORDER, "shown").mapInPandas(texts, RESULT)
 
 
