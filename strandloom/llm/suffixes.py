@@ -400,7 +400,10 @@ def suffix_pairs(table: DataFrame, plan: Plan, wave: int, waves: int) -> DataFra
             for r in f.itertuples():
                 b = Block(r.lens, r.data)
                 for (rep, first, buckets), zones in zip(plan, r.zones):
-                    one, two, own = suffix_keys(b.view(rep.words), zones, rep.length, buckets, wave, waves)[1:]
+                    if rep.words and wave:  # words are few: all in the first wave
+                        continue
+                    keys = Suffixes(b.view(rep.words), zones, rep, buckets, 1 if rep.words else waves)
+                    _, one, two, own = keys.of(wave)
                     order, new, _ = once(one, two)
                     at = order[new]
                     one, two, own = one[at].astype("<u8"), two[at].astype("<u4"), own[at]
@@ -410,14 +413,21 @@ def suffix_pairs(table: DataFrame, plan: Plan, wave: int, waves: int) -> DataFra
     return table.mapInPandas(run, "bucket long, block long, keys binary")
 
 
-def suffix_keys(view: View, zones: bytes, length: int, buckets: int, wave: int, waves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the suffixes whose bucket is in the wave: position, 64 and 32 bits of key, bucket."""
-    at = zone_positions(zones)
-    one = window_hash(view.text, at, length, 0)
-    own = bucket_of(one, buckets)
-    now = own * waves // buckets == wave
-    at = at[now]
-    return at, one[now], (window_hash(view.text, at, length, 1) >> np.uint64(32)).astype(np.uint32), own[now]
+class Suffixes:
+    """The suffixes of a block's zones, by wave."""
+
+    def __init__(self, view: View, zones: bytes, rep: Repeat, buckets: int, waves: int):
+        self.view, self.length, self.waves = view, rep.length, waves
+        self.at = zone_positions(zones)
+        self.one = window_hash(view.text, self.at, rep.length, 0)
+        self.bucket = bucket_of(self.one, buckets)
+        self.wave = self.bucket * waves // buckets if waves > 1 else None
+
+    def of(self, wave: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Position, 64 and 32 bits of key, bucket."""
+        now = slice(None) if self.wave is None else self.wave == wave
+        at = self.at[now]
+        return at, self.one[now], (window_hash(self.view.text, at, self.length, 1) >> np.uint64(32)).astype(np.uint32), self.bucket[now]
 
 
 def spans(plan: Plan, waves: int, with_text: str):
@@ -426,9 +436,10 @@ def spans(plan: Plan, waves: int, with_text: str):
         b, replies, marks = Block(r.lens, r.data), dict(zip(right.bucket, right.bits)), []
         for (rep, first, buckets), zones in zip(plan, r.zones):
             view = b.view(rep.words)
+            keys = Suffixes(view, zones, rep, buckets, 1 if rep.words else waves)
             depth = np.zeros(len(view.text) + 1, np.int32)
-            for wave in range(waves):
-                at, one, two, own = suffix_keys(view, zones, rep.length, buckets, wave, waves)
+            for wave in range(keys.waves):
+                at, one, two, own = keys.of(wave)
                 order, new, kind = once(one, two)
                 at = at[read_bits(len(at), order, new, kind, own + first, replies)]
                 depth[at] += 1  # positions are distinct
@@ -440,7 +451,7 @@ def spans(plan: Plan, waves: int, with_text: str):
 
 
 def repeated_spans(
-    docs: DataFrame, key: str = "doc_id", *, repeats: Sequence[Repeat] = (BYTES,), with_text: str = "none", block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, wave_share: float = 0.6, least_wave: int = 64 << 20
+    docs: DataFrame, key: str = "doc_id", *, repeats: Sequence[Repeat] = (BYTES,), with_text: str = "none", block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS, wave_share: float = 1.2, least_wave: int = 64 << 20
 ) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 (by the first of the repeats) and n_cut, text (by all of them) for every row of docs (key, text).
 
