@@ -27,8 +27,8 @@ def with_starts(seqs: DataFrame, pattern: str) -> DataFrame:
 
 
 def pattern_positions(seqs: DataFrame, pattern: str) -> DataFrame:
-    """1-based starts and lengths of matches that do not overlap, from the left."""
-    pieces = seqs.select("doc_id", F.posexplode_outer(F.split("seq", pattern)).alias("i", "piece"))
+    """1-based starts and lengths of matches of a plain string that do not overlap, from the left."""
+    pieces = seqs.select("doc_id", F.posexplode_outer(F.split("seq", "\\Q" + pattern + "\\E")).alias("i", "piece"))
     before = F.sum(F.length("piece")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     return pieces.withColumn("before", before).where("i > 0").select("doc_id", (F.col("before") + (F.col("i") - 1) * len(pattern) + 1).cast("long").alias("start"), F.lit(len(pattern)).alias("len"))
 

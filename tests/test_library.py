@@ -124,3 +124,10 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = stream_align(spark, path, contigs, p).drop("batch")
     batch = align_reads(reads, contigs, p)
     assert sorted(map(tuple, stream.select(batch.columns).collect())) == sorted(map(tuple, batch.collect())) and batch.count() >= 38
+
+
+def test_patterns_are_plain_strings(spark):
+    from strandloom.operators import kmers
+
+    df = spark.createDataFrame([(1, "A.CA.C")], "doc_id long, seq string")
+    assert [(r.start, r.len) for r in kmers.pattern_positions(df, ".").collect()] == [(2, 1), (5, 1)]
