@@ -23,10 +23,6 @@ def letters_to_raw(text: Column) -> Column:
     return F.regexp_replace(mapped, "[^A-Z]", "")
 
 
-def strip_newlines(seq: Column) -> Column:
-    return F.translate(seq, "\r\n", "")
-
-
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
@@ -37,7 +33,8 @@ def trim_n(seq: Column) -> tuple[Column, Column]:
 
 
 def resolve(seq: Column) -> Column:
-    """Ambiguity codes to one base each; N to the base that its place (from 0) modulo 4 names."""
+    """Ambiguity codes to one base each; N to the base that its place (from 0) modulo 4 names; any other symbol is an error."""
+    seq = F.when(seq.rlike(f"[^ACGTN{CODES}]"), F.raise_error(F.concat(F.lit("no base or code: "), F.regexp_extract(seq, f"[^ACGTN{CODES}]", 0)))).otherwise(seq)
     chars = F.split(F.translate(seq, CODES, RESOLVED), "")
     return F.array_join(F.transform(chars, lambda c, i: F.when(c == "N", F.substring(F.lit("ACGT"), (i % 4 + 1).cast("int"), F.lit(1))).otherwise(c)), "")
 
@@ -60,11 +57,6 @@ def bit_rol(byte: Column, n: int) -> Column:
     return (F.shiftleft(byte, n) + F.shiftright(byte, 8 - n)).bitwiseAND(255)
 
 
-def base_offset(offset: Column) -> Column:
-    """Bytes into a body of 60 bases and a line feed a line -> bases."""
-    return (offset - F.floor(offset / 61)).cast("long")
-
-
 def sigma(q: Column, r: Column) -> Column:
     """Score of query symbol q against reference symbol r."""
     stands = F.lit(False)

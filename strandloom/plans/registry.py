@@ -145,9 +145,12 @@ def pattern_sorted_positions(spark, d):
 
 # --- suffix index, by chunk
 
-SUFFIX = f"""{V.with_views('chunks')}, t AS (SELECT doc_id, chunk, seq || '$' AS t, unnest(generate_series(1, length(seq) + 1)) AS p FROM chunks),
-x AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY substring(t, p)) AS row, substring(t, p, 1) AS f, CASE WHEN p > 1 THEN substring(t, p - 1, 1) ELSE '$' END AS l, p - 1 AS sa FROM t)"""
-RANKED = f"{SUFFIX}, y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk, l ORDER BY row) AS il, row_number() OVER (PARTITION BY doc_id, chunk, f ORDER BY row) AS if_ FROM x), z AS (SELECT a.doc_id, a.chunk, a.row, a.f, a.l, b.row AS ptr, a.sa FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND a.l = b.f AND a.il = b.if_)"
+# The first 64 symbols decide nearly every place; whole suffixes are compared where those are equal.
+SUFFIX = f"""{V.with_views('chunks')}, s AS (SELECT doc_id, chunk, p, substring(t, p, 64) AS s, CASE WHEN p > 1 THEN substring(t, p - 1, 1) ELSE '$' END AS l FROM (SELECT doc_id, chunk, seq || '$' AS t, unnest(generate_series(1, length(seq) + 1)) AS p FROM chunks)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk, s) AS n FROM s),
+e AS (SELECT c.doc_id, c.chunk, c.p, substring(seq || '$', c.p) AS e FROM c JOIN chunks USING (doc_id, chunk) WHERE n > 1),
+x AS MATERIALIZED (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY s, e) AS row, left(s, 1) AS f, l, p - 1 AS sa FROM c LEFT JOIN e USING (doc_id, chunk, p))"""
+RANKED = f"{SUFFIX}, y AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk, l ORDER BY row) AS il, row_number() OVER (PARTITION BY doc_id, chunk, f ORDER BY row) AS if_ FROM x), z AS (SELECT a.doc_id, a.chunk, a.row, a.f, a.l, b.row AS ptr, a.sa FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND a.l = b.f AND a.il = b.if_)"
 
 
 @query(f"{SUFFIX} SELECT doc_id, chunk, row, sa FROM x")
@@ -162,7 +165,7 @@ def bwt_l_column(spark, d):
 
 @query(f"{SUFFIX} SELECT doc_id, chunk, string_agg(l, '' ORDER BY row) AS bwt FROM x GROUP BY 1, 2")
 def bwt_transform(spark, d):
-    return X.bwt_transform(X.suffix_rows(V.chunks(spark, d)))
+    return X.bwt_transform(V.chunks(spark, d))
 
 
 @query(f"{RANKED} SELECT doc_id, chunk, row, ptr FROM z")
@@ -187,10 +190,10 @@ def fm_step(spark, d):
 
 @query(f"{V.with_views('chunks')} SELECT doc_id, chunk, seq FROM chunks")
 def inverse_bwt(spark, d):
-    return X.inverse_bwt(X.bwt_transform(X.suffix_rows(V.chunks(spark, d))))
+    return X.inverse_bwt(X.bwt_transform(V.chunks(spark, d)))
 
 
-@query()
+@query(f"{SUFFIX.replace('FROM chunks)', 'FROM whole)').replace('JOIN chunks ', 'JOIN whole ').replace('chunks AS (', 'whole AS (SELECT doc_id, 1 AS chunk, seq FROM seqs), chunks AS (')} SELECT doc_id, row, sa FROM x")
 def prefix_doubling(spark, d):
     return X.prefix_doubling(V.seqs(spark, d))
 

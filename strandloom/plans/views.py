@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.operators.ranges import running_start
 
-CHUNK_BITS = 8  # chunks of about 2**8 bases, so that suffixes stay short
+CHUNK_BITS = 24  # chunks of about 2**24 bases
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +75,8 @@ SQL = {
     "seqs": "SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq FROM documents",
     "raws": "SELECT doc_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'NCGTARYKMSWBDVACGTNACGTACG'), '[^A-Z]', '', 'g') AS raw FROM documents",
     "parts": "SELECT 'doc' || doc_id AS name, (sum(n_chars) OVER (ORDER BY doc_id) - n_chars)::BIGINT AS pos, n_chars AS len FROM documents",
-    "chunks": """SELECT doc_id, c::INT AS chunk, (1 + (c - 1) * (size - 2))::BIGINT AS shift, substring(seq, 1 + (c - 1) * (size - 2), CASE WHEN c < n THEN size ELSE length(seq) END) AS seq
-        FROM (SELECT *, unnest(generate_series(1, n)) AS c FROM (SELECT *, (length(seq) + 2 * n) // n AS size FROM (SELECT *, 1 + ((length(seq) + 2) >> 8) AS n FROM seqs WHERE seq <> '')))""",
+    "chunks": f"""SELECT doc_id, c::INT AS chunk, (1 + (c - 1) * (size - 2))::BIGINT AS shift, substring(seq, 1 + (c - 1) * (size - 2), CASE WHEN c < n THEN size ELSE length(seq) END) AS seq
+        FROM (SELECT *, unnest(generate_series(1, n)) AS c FROM (SELECT *, (length(seq) + 2 * n) // n AS size FROM (SELECT *, 1 + ((length(seq) + 2) >> {CHUNK_BITS}) AS n FROM seqs WHERE seq <> '')))""",
     "reads": """SELECT event_id AS read_id, doc_id, start, CASE WHEN event_id % 7 = 0 THEN substring(s, 1, event_id % 90 + 4) || translate(substring(s, event_id % 90 + 5, 1), 'ACGT', 'CGTA') || substring(s, event_id % 90 + 6)
         ELSE s END AS seq FROM (SELECT *, substring(seq, start, want) AS s FROM (SELECT *, 1 + (event_id * 37) % (length(seq) - want + 1) AS start FROM
         (SELECT event_id, doc_id, seq, least(100 + event_id % 51, length(seq)) AS want FROM (SELECT event_id, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events) JOIN seqs USING (doc_id) WHERE length(seq) >= 100)))""",

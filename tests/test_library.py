@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import fuzzy
@@ -61,7 +62,7 @@ def test_index_properties(spark):
         lf = X.lf_mapping(rows).where(F.col("doc_id") == doc).collect()
         assert sorted(r.ptr for r in lf) == list(range(1, len(text) + 2))
         assert [r.sa for r in X.prefix_doubling(seqs(spark, *s)).where(F.col("doc_id") == doc).orderBy("row").collect()] == [r.sa for r in own]
-    assert {r.doc_id: r.seq for r in X.inverse_bwt(X.bwt_transform(rows)).collect()} == dict(enumerate(s))
+    assert {r.doc_id: r.seq for r in X.inverse_bwt(X.bwt_transform(chunks)).collect()} == dict(enumerate(s))
     assert X.suffix_ranks(np.zeros(0, np.uint8)).tolist() == []
 
 
@@ -131,3 +132,43 @@ def test_patterns_are_plain_strings(spark):
 
     df = spark.createDataFrame([(1, "A.CA.C")], "doc_id long, seq string")
     assert [(r.start, r.len) for r in kmers.pattern_positions(df, ".").collect()] == [(2, 1), (5, 1)]
+
+
+def test_a_kept_index_reads_only_what_is_asked(spark, tmp_path):
+    from strandloom.operators import suffix_index as X
+
+    chunks = spark.createDataFrame([(i, 1, "ACGTTGCA" * (i + 1)) for i in range(4)], "doc_id long, chunk int, seq string")
+    index = X.fm_index(X.suffix_rows(chunks))
+    X.write_index(index, f"{tmp_path}/fm")
+    cols = ["doc_id", "chunk", "row", "f", "l", "ptr", "sa"]
+    got = X.read_index(spark, f"{tmp_path}/fm", [1, 3])
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, index.where("doc_id IN (1, 3)").select(cols).collect()))
+
+
+def test_suffixes_of_long_repeats(spark):
+    from strandloom.operators import suffix_index as X
+
+    rnd = random.Random(3)
+    s = "".join(rnd.choice("ACGT") for _ in range(300)) * 3 + "A" * 200
+    rows = X.suffix_rows(spark.createDataFrame([(1, 1, s)], "doc_id long, chunk int, seq string")).orderBy("row").collect()
+    t = s + "$"
+    want = sorted(range(len(t)), key=lambda i: t[i:])
+    assert [r.sa for r in rows] == want and [(r.f, r.l) for r in rows] == [(t[i], t[i - 1]) for i in want]
+
+
+def test_symbols_that_are_no_code_are_errors(spark):
+    from strandloom.functions import sequence as S
+
+    df = spark.createDataFrame([("ACGH",)], "s string")
+    with pytest.raises(Exception, match="no base or code: H"):
+        df.select(S.resolve(F.col("s"))).collect()
+
+
+def test_file_sizes_and_histogram(spark, tmp_path):
+    from strandloom.operators import kmers
+    from strandloom.sources import text as T
+
+    (tmp_path / "a.txt").write_bytes(b"x" * 123)
+    assert [r.size for r in T.file_sizes(spark, str(tmp_path / "a.txt")).collect()] == [123]
+    T.histogram_sink(kmers.kmer_freq(spark.createDataFrame([(1, "AAAACC")], "doc_id long, seq string"), 2), f"{tmp_path}/h")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/h").collect()] == [("AA", 3), ("AC", 1), ("CC", 1)]
