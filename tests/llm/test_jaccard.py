@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from strandloom.llm import jaccard as J
 from strandloom.llm import simhash as S
@@ -78,3 +80,24 @@ def test_stage_keeps_one_row_of_each_group(spark):
 def test_simhash_keep_one_names_rows(spark):
     rows = [(5, "a b c d e f", 0), (5, "g h i j k l", 1), (1, "g h i j k l", 2)]
     assert sorted(r.x for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, x int")).collect()) == [0, 2]
+
+
+def test_bitmaps_lose_no_pair():
+    r, kept = np.random.default_rng(1), 0
+    for _ in range(100):
+        k = int(r.integers(2, 12))
+        base = r.integers(0, 1 << 64, int(r.integers(1, 700)), np.uint64, endpoint=False)
+        own = []
+        for share in r.choice([0.4, 0.7, 0.85, 0.93, 1.0], k):
+            more = r.integers(0, 1 << 64, int(r.integers(0, len(base) // 5 + 1)), np.uint64, endpoint=False)
+            own.append(np.unique(np.concatenate([base[:1], base[r.random(len(base)) < share], more])))
+        n, root = np.array([len(x) for x in own]), r.integers(0, 6, k)
+        got = J.may_link([np.frombuffer(J.bitmap(x).tobytes(), np.uint64) for x in own], n, root)
+        for i in range(k):
+            both = [len(np.intersect1d(own[i], x)) for x in own]
+            if any(root[j] != root[i] and 10 * both[j] >= 8 * (n[i] + n[j] - both[j]) for j in range(k)):
+                assert got[i]
+                kept += 1
+            elif all(root[j] == root[i] or both[j] < 0.5 * n[i] for j in range(k)):
+                assert not got[i] or n[i] < 100
+    assert kept > 50
