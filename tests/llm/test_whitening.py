@@ -56,7 +56,8 @@ def test_merging_keeps_all_that_one_decomposition_has():
         parts = [a.merged(b) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
     whole = x - x.mean(0)
     assert parts[0].n == 3000 and parts[0].sums == x.sum(0).tolist() and parts[0].rows.shape == (12, 12)
-    assert np.allclose(parts[0].rows.T @ parts[0].rows, whole.T @ whole, rtol=1e-12)
+    want = whole.T @ whole
+    assert np.abs(parts[0].rows.T @ parts[0].rows - want).max() < 1e-12 * want.max()
 
 
 def test_defined_cases(spark):
@@ -67,7 +68,7 @@ def test_defined_cases(spark):
     short = run([[1.0], [1.0, 0.0], [0.0, 2.0], [5.0, 1.0]])  # filled up with zeros
     assert [r.n for r in short] == [3] * 4 and short[0].whitened == short[1].whitened
     huge = run([[3e38, 0.0], [0.0, 1.0], [1.0, 2.0], [-3e38, 5.0]])
-    assert len(huge) == 4 and [r.deviation for r in huge] == [None] * 4
+    assert [r.deviation is None for r in huge] == [True, False, False, True]
     far = run([[2.0**40, 0.0], [0.0, 1.0], [1.0, 2.0]])
     assert far[1].deviation is None or isinstance(far[1].deviation, int)
 
