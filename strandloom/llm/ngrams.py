@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import _io
@@ -160,17 +160,19 @@ def passes(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * rest >= percent * (n1 + n2))
 
 
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray | int:
-    """At most as many n-grams as only one of the sets has, from part_sizes of rows a (2-d or 1-d) and of one set b."""
-    while a.shape[-1] > len(b):
-        a = a[..., : a.shape[-1] // 2].astype(np.int32) + a[..., a.shape[-1] // 2 :]
-    while len(b) > a.shape[-1]:
-        b = b[: len(b) // 2].astype(np.int32) + b[len(b) // 2 :]
-    return np.abs(a.astype(np.int32) - b.astype(np.int32)).sum(-1)
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most as many n-grams as only one of two sets has, from the part_sizes of both, row by row."""
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    while a.shape[-1] != b.shape[-1]:
+        if a.shape[-1] < b.shape[-1]:
+            a, b = b, a
+        half = a.shape[-1] // 2
+        a = a[..., :half] + a[..., half:]
+    return np.abs(a - b).sum(-1)
 
 
 def allowed(n1, n2, percent: int):
-    """How many n-grams at most only one of two sets at the similarity has."""
+    """How many n-grams at most only one of two sets at the similarity has, for sizes or arrays of them."""
     total = n1 + n2
     return total - 2 * -(-percent * total // (100 + percent))
 
@@ -221,40 +223,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def met(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Rows of units (unit, side, node, n, pos, root, parts), sorted by unit -> u, v that pass all filters, of different roots; where a unit has two sides, across them only."""
+    """Rows (unit, side, two, node, n, pos, root, parts) sorted by unit, n and node -> u, v of a unit that pass all filters, of different roots, and if the unit has two sides, of different sides."""
     for f in whole_units(frames):
-        u, v = [], []
-        edge = np.flatnonzero(np.append(True, f.unit.to_numpy()[1:] != f.unit.to_numpy()[:-1]))
-        for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(f)).tolist()):
-            for a, b in unit_pairs(f.iloc[lo:hi], percent):
-                u.append(a)
-                v.append(b)
-        yield pd.DataFrame({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
-
-
-def unit_pairs(f: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    f = f.sort_values("n", kind="stable").drop_duplicates("node")
-    n, pos, root, node = (f[c].to_numpy(np.int64) for c in ("n", "pos", "root", "node"))
-    side = f.side.to_numpy()
-    crossed = len(np.unique(side)) > 1
-    parts = [np.frombuffer(p, np.uint8) for p in f.parts]
-    long = np.array([len(p) for p in parts])
-    stacks = {m: (np.flatnonzero(long == m), np.stack([parts[i] for i in np.flatnonzero(long == m)])) for m in np.unique(long).tolist()}
-    ends = np.searchsorted(n, 100 * n // percent, "right")
-    for i in range(len(n)):
-        for m, (at, stack) in stacks.items():
-            lo, hi = np.searchsorted(at, [i + 1, ends[i]])
-            if lo >= hi:
-                continue
-            j = at[lo:hi]
+        unit, side, two, node, n, pos, root = (f[c].to_numpy() for c in ("unit", "side", "two", "node", "n", "pos", "root"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        parts = [np.frombuffer(p, np.uint8) for p in f.parts]
+        long = np.array([len(p) for p in parts])
+        at, stacks = np.zeros(len(f), np.int64), {}
+        for m in np.unique(long).tolist():
+            own = np.flatnonzero(long == m)
+            at[own], stacks[m] = np.arange(len(own)), np.stack([parts[i] for i in own])
+        live, k, u, v = np.arange(len(f)), 0, [], []
+        while len(live):  # every row and the k-th after it, while that is in its unit and short enough
+            k += 1
+            live = live[live + k < len(f)]
+            live = live[(unit[live + k] == unit[live]) & (percent * n[live + k] <= 100 * n[live])]
+            i, j = live, live + k
             rest = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-            live = (root[j] != root[i]) & ((100 + percent) * rest >= percent * (n[i] + n[j]))
-            if crossed:
-                live &= side[j] != side[i]
-            k = np.flatnonzero(live)
-            k = k[apart(stack[lo:hi][k], parts[i]) <= allowed(n[i], n[j[k]], percent)]
-            if len(k):
-                yield np.minimum(node[i], node[j[k]]), np.maximum(node[i], node[j[k]])
+            good = (root[i] != root[j]) & ((100 + percent) * rest >= percent * (n[i] + n[j])) & (~two[i] | (side[i] != side[j]))
+            i, j = i[good], j[good]
+            for x, y in {(a, b) for a, b in zip(long[i].tolist(), long[j].tolist())}:
+                own = np.flatnonzero((long[i] == x) & (long[j] == y))
+                own = own[apart(stacks[x][at[i[own]]], stacks[y][at[j[own]]]) <= allowed(n[i[own]], n[j[own]], percent)]
+                u.append(np.minimum(node[i[own]], node[j[own]]))
+                v.append(np.maximum(node[i[own]], node[j[own]]))
+        none = np.zeros(0, np.int64)
+        yield pd.DataFrame({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
 
 
 def whole_units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -281,10 +275,14 @@ def near_links(texts: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     both = _io.stored(counted(texts, words), "ngram-counts")
     order, rows = order_of(both), both.where("slice IS NULL").select("key", "node", "n")
     own = _io.stored(probed(texts, words, order, percent), "ngram-prefixes", "uncompressed")
-    met_at = _io.stored(probes(own), "ngram-probes", "lz4")
-    hubs = met_at.groupBy("gram").agg(F.min(F.struct("pos", "n", "node")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    hubs = hubs.select("gram", F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
-    shared = _io.stored(met_at.join(hubs, "gram").where("node <> hub_node").distinct(), "shared-ngrams")
+    # one shuffle: the hub of each n-gram, and whether the next smaller or larger node is of a size for a link
+    gram, by_size = Window.partitionBy("gram"), Window.partitionBy("gram").orderBy("n", "node")
+    each = probes(own).select("*", F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"))
+    each = each.select("*", F.min(F.struct("pos", "n", "node")).over(gram).alias("hub"), F.max("node").over(gram).alias("hi"), F.min("node").over(gram).alias("lo"))
+    near = F.coalesce(100 * F.col("below") >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.col("above"), F.lit(False))
+    each = each.where((F.col("lo") != F.col("hi")) & (F.col("node") != F.col("hub.node")) & near)
+    shared = each.select("gram", "node", "n", "pos", F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    shared = _io.stored(shared, "shared-ngrams")
     star = shared.where(passes("", "hub_", percent)).select(F.least("node", "hub_node").alias("u"), F.greatest("node", "hub_node").alias("v")).distinct()
     star = _io.stored(star, "hub-pairs")
 
@@ -301,14 +299,15 @@ def near_links(texts: DataFrame, *, words: int = WORDS, percent: int = PERCENT,
     first = _io.stored(verified(star, sets, percent), "hub-links")
     roots = components(first.select("u", "v"))
     # nodes without their hub, in n-grams where different components are left
-    now = shared.select("gram", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now = shared.select("gram", "node", "n", "pos").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     now = _io.stored(now, "open-probes")
     size = now.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     open_ = now.join(size.select("gram", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "gram")
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumn("unit", F.xxhash64("gram", F.least("side", "other"), F.greatest("side", "other")))
     nodes = own.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parts").alias("parts"))
-    units = open_.select("unit", "side", "node", "n", "pos", "root").join(nodes, "node").repartition(tasks, "unit").sortWithinPartitions("unit")
+    open_ = open_.select("unit", "side", (F.col("side") != F.col("other")).alias("two"), "node", "n", "pos", "root")
+    units = open_.join(nodes, "node").repartition(tasks, "unit").sortWithinPartitions("unit", "n", "node")
     rest = _io.stored(units.mapInPandas(lambda frames: met(frames, percent), "u long, v long").distinct(), "cross-pairs").join(star, ["u", "v"], "left_anti")
     more = ends_of(rest).join(sets.select("node"), "node", "left_anti")
     sets = sets.unionAll(_io.stored(sets_of(texts, rows, more, words), "more-sets"))
