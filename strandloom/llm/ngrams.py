@@ -35,6 +35,7 @@ from strandloom.llm.components import components
 WORDS, PERCENT = 3, 90
 CELLS, SLICE = 1 << 16, 1 << 10  # counters of the order; counters in a row
 BLOCK = 512  # nodes of a shared n-gram that meet the same number of others in one unit
+BROADCAST = 1 << 20  # keys of texts that are sent to all tasks: 8 MB
 ROWS = 500  # texts turned into sets at a time
 
 
@@ -201,8 +202,9 @@ def sets_of(texts: DataFrame, rows: DataFrame, wanted: DataFrame, n: int) -> Dat
                 sets = [ngram_set(t, n, memo) for t in part.text]
                 yield pd.DataFrame({"node": [named_set(s) for s in sets], "own": [s.astype("<u8").tobytes() for s in sets]})
 
-    keys = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
-    return texts.join(keys, "key", "left_semi").mapInPandas(run, "node long, own binary")
+    keys = _io.stored(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "set-keys")
+    few = keys.count() <= BROADCAST  # else the texts are shuffled
+    return texts.join(F.broadcast(keys) if few else keys, "key", "left_semi").mapInPandas(run, "node long, own binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
