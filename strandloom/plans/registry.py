@@ -150,7 +150,7 @@ SUFFIX = f"""{V.with_views('chunks')}, s AS (SELECT doc_id, chunk, p, substring(
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk, s) AS n FROM s),
 e AS (SELECT c.doc_id, c.chunk, c.p, substring(seq || '$', c.p) AS e FROM c JOIN chunks USING (doc_id, chunk) WHERE n > 1),
 x AS MATERIALIZED (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY s, e) AS row, left(s, 1) AS f, l, p - 1 AS sa FROM c LEFT JOIN e USING (doc_id, chunk, p))"""
-RANKED = f"{SUFFIX}, y AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk, l ORDER BY row) AS il, row_number() OVER (PARTITION BY doc_id, chunk, f ORDER BY row) AS if_ FROM x), z AS (SELECT a.doc_id, a.chunk, a.row, a.f, a.l, b.row AS ptr, a.sa FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND a.l = b.f AND a.il = b.if_)"
+RANKED = f"{SUFFIX}, z AS (SELECT a.doc_id, a.chunk, a.row, a.f, a.l, coalesce(b.row, 1) AS ptr, a.sa FROM x a LEFT JOIN x b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND b.sa = a.sa - 1)"
 
 
 @query(f"{SUFFIX} SELECT doc_id, chunk, row, sa FROM x")
@@ -188,6 +188,15 @@ def fm_step(spark, d):
     return X.fm_step(X.fm_index(X.suffix_rows(V.chunks(spark, d))), "A", "C")
 
 
+@query(f"""{V.with_views('reads')}, pats AS (SELECT DISTINCT left(seq, 12) AS pattern FROM reads), k AS (SELECT doc_id, unnest(list_transform(generate_series(1, length(seq) - 11), lambda i: substring(seq, i, 12))) AS pattern FROM seqs WHERE length(seq) >= 12)
+SELECT pattern, count(*) AS n, count(DISTINCT doc_id) AS contigs FROM k JOIN pats USING (pattern) GROUP BY 1""")
+def backward_counts(spark, d):
+    """Each read's first twelve bases, searched in the index of every contig."""
+    patterns = V.reads(spark, d).select(F.left("seq", F.lit(12)).alias("pattern"))
+    found = X.backward_search(X.bwt_transform(V.chunks(spark, d)), patterns)
+    return found.groupBy("pattern").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("contigs"))
+
+
 @query(f"{V.with_views('chunks')} SELECT doc_id, chunk, seq FROM chunks")
 def inverse_bwt(spark, d):
     return X.inverse_bwt(X.bwt_transform(V.chunks(spark, d)))

@@ -172,3 +172,34 @@ def test_file_sizes_and_histogram(spark, tmp_path):
     assert [r.size for r in T.file_sizes(spark, str(tmp_path / "a.txt")).collect()] == [123]
     T.histogram_sink(kmers.kmer_freq(spark.createDataFrame([(1, "AAAACC")], "doc_id long, seq string"), 2), f"{tmp_path}/h")
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/h").collect()] == [("AA", 3), ("AC", 1), ("CC", 1)]
+
+
+def test_pointers_are_occurrence_ranks(spark):
+    """The i-th symbol of a kind in l is the i-th of its kind in f."""
+    rnd = random.Random(9)
+    seqs = ["", "A", "ACGTACGT", "A" * 50, "".join(rnd.choice("ACGT") for _ in range(400))]
+    rows = X.suffix_rows(spark.createDataFrame([(i, 1, s) for i, s in enumerate(seqs)], "doc_id long, chunk int, seq string")).orderBy("row").collect()
+    for i in range(len(seqs)):
+        own = [r for r in rows if r.doc_id == i]
+        where = {c: [r.row for r in own if r.f == c] for c in "$ACGT"}
+        seen = dict.fromkeys("$ACGT", 0)
+        for r in own:
+            assert r.ptr == where[r.l][seen[r.l]]
+            seen[r.l] += 1
+
+
+def test_backward_search_counts_all_patterns_at_once(spark):
+    rnd = random.Random(10)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (0, 1, 31, 32, 33, 700)] + ["ACGA" * 60]
+    patterns = sorted({"".join(rnd.choice("ACGT") for _ in range(rnd.randint(1, 6))) for _ in range(300)} | {"ACGA" * 20, "N", "ACNA", "$", "CGAACGAAC"})
+    bwt = X.bwt_transform(spark.createDataFrame([(i, 1, s) for i, s in enumerate(seqs)], "doc_id long, chunk int, seq string"))
+    asked = spark.createDataFrame([(x,) for x in [*patterns, patterns[0], "", None]], "pattern string")
+    got = {(r.pattern, r.doc_id): (r.sp, r.ep, r.n) for r in X.backward_search(bwt, asked, 64).collect()}
+    want = {}
+    for i, s in enumerate(seqs):
+        order = sorted(range(len(s) + 1), key=lambda k: s[k:] + "$")
+        for x in patterns:
+            rows = [n for n, k in enumerate(order, 1) if (s[k:] + "$").startswith(x)]
+            if rows:
+                want[x, i] = (rows[0], rows[-1], len(rows))
+    assert got == want and len(want) > 200
