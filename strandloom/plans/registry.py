@@ -69,13 +69,15 @@ def rotations(spark, d):
     return V.seqs(spark, d).where("seq <> ''").select("doc_id", S.rol(seq).alias("rol"), S.ror(seq).alias("ror"), F.left(seq, F.lit(1)).alias("f"), F.right(seq, F.lit(1)).alias("l"), S.bit_rol(F.ascii("seq"), 3).cast("int").alias("bits"))
 
 
-@query("""WITH a AS (SELECT unnest(string_split('ACGTNRYKMSWBDVH', '')) AS s), p AS (SELECT q.s AS q, r.s AS r FROM a q, a r)
-SELECT q, r, (CASE WHEN q = r AND q = 'N' THEN 1.6 WHEN q = r THEN 2 WHEN q = 'N' OR r = 'N' THEN 1.6 WHEN (r = 'R' AND q IN ('A','G')) OR (r = 'Y' AND q IN ('C','T')) OR (r = 'K' AND q IN ('G','T'))
+@query(f"""{V.with_views('raws')}, p AS (SELECT substring(two, 1, 1) AS q, substring(two, 2, 1) AS r, count(*) AS n FROM (SELECT unnest(list_transform(generate_series(1, length(raw) - 1), lambda i: substring(raw, i, 2))) AS two FROM raws WHERE length(raw) > 1) GROUP BY 1, 2)
+SELECT q, r, n, (CASE WHEN q = r AND q = 'N' THEN 1.6 WHEN q = r THEN 2 WHEN q = 'N' OR r = 'N' THEN 1.6 WHEN (r = 'R' AND q IN ('A','G')) OR (r = 'Y' AND q IN ('C','T')) OR (r = 'K' AND q IN ('G','T'))
 OR (r = 'M' AND q IN ('A','C')) OR (r = 'S' AND q IN ('G','C')) OR (r = 'W' AND q IN ('A','T')) OR (r = 'B' AND q IN ('C','G','T')) OR (r = 'D' AND q IN ('A','G','T')) OR (r = 'V' AND q IN ('A','C','G')) THEN 2 ELSE -1 END)::DOUBLE AS score FROM p""")
 def sigma_matrix(spark, d):
-    letters = F.split(F.lit(S.ALPHABET), "")
-    pairs = spark.range(1).select(F.explode(letters).alias("q")).select("q", F.explode(letters).alias("r"))
-    return pairs.select("q", "r", S.sigma(F.col("q"), F.col("r")).alias("score"))
+    """Scores of all pairs of neighbouring symbols in the unresolved sequences, and how often each pair occurs."""
+    raw = V.raw_seqs(spark, d).where("length(raw) > 1")
+    pairs = raw.select("raw", F.explode(F.sequence(F.lit(1), F.length("raw") - 1)).alias("i")).select(F.substring(F.col("raw"), F.col("i"), F.lit(2)).alias("two"))
+    pairs = pairs.groupBy("two").agg(F.count("*").alias("n")).select(F.substring("two", 1, 1).alias("q"), F.substring("two", 2, 1).alias("r"), "n")
+    return pairs.select("q", "r", "n", S.sigma(F.col("q"), F.col("r")).alias("score"))
 
 
 # --- k-mers and patterns
