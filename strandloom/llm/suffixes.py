@@ -66,7 +66,9 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
 BLOCK_BYTES = 4 << 20
-STEP = 1 << 20  # positions hashed at a time
+STEP = 1 << 16  # positions hashed at a time, few enough for a cache
+PRIME = (1 << 31) - 1
+BASES = (0x2545F491, 0x5851F42D, 0x4C957F2D, 0x14057B7E)
 BUCKET_KEYS = 1 << 20
 BLOCK = "block long, keys array<long>, lens array<long>, data binary, zones array<binary>"
 DONE = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_cut long, text string"
@@ -80,30 +82,50 @@ def cover(length: int) -> tuple[int, np.ndarray]:
 # --- hashes of windows
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[which]
-    up = np.full(n, base, np.uint64)
-    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    letters = np.random.Generator(np.random.PCG64(which)).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), letters
+@functools.lru_cache(maxsize=8)
+def _powers(n: int, which: int, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME, and values of the 256 bytes."""
+    base = BASES[2 * which + lane]
+
+    def powers(x: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(x, len(out), PRIME)) % np.uint64(PRIME)])
+        return out[:n]
+
+    letters = np.random.Generator(np.random.PCG64(2 * which + lane)).integers(1, PRIME, 256, np.uint64)
+    return powers(base), powers(pow(base, -1, PRIME)), letters
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, but for PRIME itself, which may stand for 0."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
 
 
 def window_hash(text: np.ndarray, at: np.ndarray, length: int | np.ndarray, which: int) -> np.ndarray:
-    """64-bit hashes of the `length` symbols (one number, or one for each) from each position of `at` (ascending): polynomials modulo 2**64 over random symbol values, mixed."""
+    """64-bit hashes of the `length` symbols (one number, or one for each) from each position of `at` (ascending): two polynomials modulo a prime over random symbol values, mixed.
+
+    Two different strings share a polynomial for at most `length` of the 2**31 bases, whatever their structure; modulo a power of two some do for every base."""
     most = length if isinstance(length, int) else int(length.max(initial=1))
-    up, down, letters = _powers(STEP + max(most, 1 << most.bit_length() if most > 512 else 512), which)
+    table = STEP + max(most, 1 << most.bit_length() if most > 512 else 512)
     out, lo = np.empty(len(at), np.uint64), 0
     for a in range(0, len(text), STEP):
         hi = int(np.searchsorted(at, a + STEP))
         if hi > lo:
             part = text[a : a + STEP + most]
-            value = letters[part] if part.dtype == np.uint8 else mixed(part ^ letters[0])
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(value * up[: len(part)], out=total[1:])
+            wide = part if part.dtype == np.uint8 else mixed(part)
             q = at[lo:hi] - a
-            out[lo:hi] = (total[q + (length if isinstance(length, int) else length[lo:hi])] - total[q]) * down[q]
+            end = q + (length if isinstance(length, int) else length[lo:hi])
+            lanes = []
+            for lane in (0, 1):
+                up, down, letters = _powers(table, which, lane)
+                value = letters[part] if part.dtype == np.uint8 else (wide >> np.uint64(31 * lane)) & np.uint64(PRIME)
+                total = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(folded(value * up[: len(part)]), out=total[1:])  # below 2**31 each, so sums of a part fit
+                x = folded(folded(total[end] - total[q]) * down[q])
+                lanes.append(np.where(x == PRIME, np.uint64(0), x))
+            out[lo:hi] = lanes[0] << np.uint64(31) | lanes[1]
         lo = hi
     return mixed(out)
 

@@ -155,3 +155,37 @@ def test_clashing_columns_and_shared_ids(spark):
     got = S.dedup_texts(docs, [S.Repeat(50)])
     assert got.columns == docs.columns and sorted(tuple(r) for r in got.where("doc_id = 1").collect()) == [(1, "a", 7, 8, 9, 3), (1, "b", 7, 8, 9, 3)]
     assert got.where("doc_id IS NULL").first() == docs.where("doc_id IS NULL").first()
+
+
+def thue_morse(n):
+    return np.array([bin(i).count("1") & 1 for i in range(n)], np.uint8) + np.uint8(97)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+@pytest.mark.parametrize("which", [0, 1])
+def test_hashes_tell_structured_strings_apart(n, which):
+    one = thue_morse(n)
+    other = np.uint8(195) - one
+    got = [int(S.window_hash(x, np.array([0]), n, which)[0]) for x in (one, other, one.copy())]
+    assert got[0] != got[1] and got[0] == got[2]
+    words = [S.window_hash(x.astype(np.uint64), np.array([0]), n, which)[0] for x in (one, other)]
+    assert words[0] != words[1]
+
+
+def test_window_hash_depends_on_the_window_alone():
+    rnd = np.random.default_rng(3)
+    text = rnd.integers(0, 256, S.STEP + 5000).astype(np.uint8)
+    text[S.STEP - 300 : S.STEP + 700] = text[100:1100]  # over a step's end
+    h = S.window_hash(text, np.array([100, 101, S.STEP - 300]), 1000, 0)
+    assert h[0] == h[2] != h[1]
+
+
+def test_structured_texts_are_no_repeats(spark):
+    one = thue_morse(2048).tobytes().decode()
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    want = brute([one.encode(), other.encode()], 1500)
+    got = S.repeated_spans(docs, "doc_id", repeats=(S.Repeat(1500),)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == [w[:4] for w in want]
+    start, stop, value = S.word_symbols(np.frombuffer(f"{one[:1024]} {other[:1024]} {one[:1024]}".encode(), np.uint8), np.array([3074]))
+    assert value[0] == value[2] != value[1]
