@@ -98,9 +98,10 @@ def _powers(n: int, which: int, lane: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def folded(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME, but for PRIME itself, which may stand for 0."""
-    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
-    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    """A smaller number equal to x modulo PRIME: below 2**34 for any x, at most PRIME + 2 for x below 2**33."""
+    high = x >> np.uint64(31)
+    high += x & np.uint64(PRIME)
+    return high
 
 
 def window_hash(text: np.ndarray, at: np.ndarray, length: int | np.ndarray, which: int) -> np.ndarray:
@@ -122,9 +123,9 @@ def window_hash(text: np.ndarray, at: np.ndarray, length: int | np.ndarray, whic
                 up, down, letters = _powers(table, which, lane)
                 value = letters[part] if part.dtype == np.uint8 else (wide >> np.uint64(31 * lane)) & np.uint64(PRIME)
                 total = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(folded(value * up[: len(part)]), out=total[1:])  # below 2**31 each, so sums of a part fit
-                x = folded(folded(total[end] - total[q]) * down[q])
-                lanes.append(np.where(x == PRIME, np.uint64(0), x))
+                np.cumsum(folded(value * up[: len(part)]), out=total[1:])  # below 2**32 each, so sums of a part fit
+                x = folded(folded(folded(total[end] - total[q]) * down[q]))
+                lanes.append(np.where(x >= PRIME, x - np.uint64(PRIME), x))
             out[lo:hi] = lanes[0] << np.uint64(31) | lanes[1]
         lo = hi
     return mixed(out)
