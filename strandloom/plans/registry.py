@@ -15,6 +15,7 @@ from strandloom.operators import suffix_index as X
 from strandloom.params import Params
 from strandloom.plans import views as V
 from strandloom.plans.align import align_reads
+from strandloom.sources import byte_ranges as B
 from strandloom.sources import text as T
 from strandloom.streaming.align_stream import stream_align as stream
 
@@ -395,11 +396,34 @@ def fasta_index(spark, d):
     return T.fasta_index(spark, fasta_file(spark, d, one=True)).drop("file")
 
 
-@query(f"{V.with_views('reads')} SELECT 'r' || read_id AS name, seq FROM reads")
-def fastq_scan(spark, d):
+FASTQ_SQL = f"{V.with_views('reads')} SELECT 'r' || read_id AS name, seq FROM reads"
+
+
+def fastq_file(spark, d) -> str:
     name, seq = F.concat(F.lit("r"), F.col("read_id").cast("string")), F.col("seq")
-    rec = V.reads(spark, d).select(F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq"))).alias("value"))
-    return T.fastq_scan(spark, written(rec, "fastq"))
+    return written(V.reads(spark, d).select(F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq"))).alias("value")), "fastq")
+
+
+@query(FASTQ_SQL)
+def fastq_scan(spark, d):
+    return T.fastq_scan(spark, fastq_file(spark, d))
+
+
+@query(FASTQ_SQL)
+def fastq_ranges(spark, d):
+    return B.fastq_ranges(spark, fastq_file(spark, d)).select("name", "seq")
+
+
+@query(FASTQ_SQL)
+def stream_fastq(spark, d):
+    return B.stream_fastq_scan(spark, fastq_file(spark, d))
+
+
+@query(seq_sql("SELECT 'doc' || doc_id AS name, (k * 3840)::BIGINT AS start, substring(seq, k * 3840 + 1, 3840) AS bases FROM (SELECT *, unnest(generate_series(0, (length(seq) - 1) // 3840)) AS k FROM seqs WHERE seq <> '')"))
+def fasta_pieces(spark, d):
+    path = fasta_file(spark, d, one=True)
+    index = written(T.fasta_index(spark, path).select(F.concat_ws(" ", "name", "pos", "len").alias("value")), "fasta-index")
+    return B.fasta_pieces(spark, path, index, range_bytes=64 * 61)  # 64 lines of 60 bases
 
 
 @query("SELECT user_id::VARCHAR AS name, max(event_id)::INT AS pos, '8M' AS cigar, max_by(event_type, event_id) AS seq FROM events GROUP BY 1")
