@@ -364,9 +364,14 @@ def read_batches(spark, d):
     return at.groupBy("workload", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
-@query()
+SEED, SEED_LENGTH, SEED_DEFECTS = "ACGATACCA", 8, 1
+
+
+# the text between two matches, which are SEED_LENGTH long each, tells where they start
+@query(seq_sql(f"""SELECT doc_id, (list_sum(list_transform(p[1:k], lambda x: length(x))) + {SEED_LENGTH} * (k - 1) + 1)::BIGINT AS start FROM (SELECT doc_id, p, unnest(generate_series(1, len(p) - 1)) AS k FROM
+(SELECT doc_id, string_split_regex(seq, '{"|".join(fuzzy.patterns(SEED, SEED_LENGTH, SEED_DEFECTS))}') AS p FROM seqs))"""))
 def fuzzy_seed(spark, d):
-    return V.seqs(spark, d).select("doc_id", F.explode(fuzzy.fuzzy_starts(F.col("seq"), "ACGATACCA", 8, 1).cast("array<bigint>")).alias("start"))
+    return V.seqs(spark, d).select("doc_id", F.explode(fuzzy.fuzzy_starts(F.col("seq"), SEED, SEED_LENGTH, SEED_DEFECTS).cast("array<bigint>")).alias("start"))
 
 
 # --- files: written from the tables, read back

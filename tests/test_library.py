@@ -1,6 +1,7 @@
 """Operators on small fixtures, and properties that hold for any input."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -93,6 +94,28 @@ def test_fuzzy_patterns():
     assert {"ACGT", ".CGT", "ACG.", "CGTA", "AGTA"} <= set(one) and all(len(p) == 4 for p in one)
 
 
+def test_fuzzy_scan_equals_its_patterns(spark):
+    rnd = random.Random(8)
+    for _ in range(150):
+        length, defects = rnd.randint(1, 7), rnd.randint(0, 3)
+        seq = "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, length + defects + 2)))
+        text = "".join(rnd.choice("ACGTN") for _ in range(rnd.randint(0, 60)))
+        made = [re.compile(p) for p in fuzzy.patterns(seq, length, defects)]
+        want = [i for i in range(len(text)) if any(p.match(text, i) for p in made)]
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        assert fuzzy.matches(codes, seq, length, defects).tolist() == want, (seq, text, length, defects)
+        step = re.compile("|".join(f"(?:{p.pattern})" for p in made) or "(?!)")
+        assert fuzzy.apart(np.array(want), length) == [m.start() for m in step.finditer(text)]
+    seed = "".join(rnd.choice("ACGT") for _ in range(150))  # more states than a word has bits, far too many patterns to make
+    cut = seed[:40] + seed[41:100] + "A" + seed[100:]
+    text = np.frombuffer(("TTT" + cut + "GG" * fuzzy.BLOCK + cut).encode("utf-32-le"), np.uint32)
+    assert {3, 3 + len(cut) + 2 * fuzzy.BLOCK} <= set(fuzzy.matches(text, seed, 140, 2).tolist())
+    assert not len(fuzzy.matches(text, seed, 140, 0))
+    rows = spark.createDataFrame([(1, "AACGTACGT"), (2, None), (3, "")], "id long, s string")
+    got = rows.select("id", fuzzy.fuzzy_starts(F.col("s"), "ACGT", 4, 0).alias("x")).orderBy("id").collect()
+    assert [r.x for r in got] == [[2, 6], [], []]
+
+
 def test_sources(spark, tmp_path):
     fasta = tmp_path / "g.fa"
     fasta.write_text(">1 first one\nACGT\nAC\n>2\nNNN\n>3 x\n\n>4 last\nA")
