@@ -259,6 +259,15 @@ def schedule_parts(spark, d):
     return ranges.schedule(V.parts(spark, d), 8, 1000)
 
 
+@query(f"""WITH RECURSIVE parts AS ({V.SQL["parts"]}), p AS (SELECT *, sum(len) OVER (ORDER BY pos) - len AS before, CASE WHEN len < 1500 THEN 0 ELSE floor((len - 1500) / 900)::INT + 1 END AS n FROM parts),
+q AS (SELECT *, unnest(generate_series(0, n)) AS piece FROM p),
+r AS (SELECT name, piece::INT AS piece, (pos + piece * 900)::BIGINT AS start, (CASE WHEN piece < n THEN 1000 ELSE len - piece * 900 END)::BIGINT AS size, (before + piece * 900)::BIGINT AS load FROM q),
+b AS (SELECT 0::BIGINT AS node, 0::BIGINT AS lo UNION ALL SELECT node + 1, min(load) FROM b JOIN r ON load >= lo + (SELECT greatest(ceil(sum(len) / 8), 1)::BIGINT FROM parts) GROUP BY node)
+SELECT name, piece, start, size, (SELECT max(node) FROM b WHERE lo <= load) AS node FROM r""")
+def schedule_greedy(spark, d):
+    return ranges.schedule_greedy(V.parts(spark, d), 8, 1000)
+
+
 @query("SELECT min(x) AS first, max(x) AS last, count(*) AS n FROM (SELECT x, x - row_number() OVER (ORDER BY x) AS g FROM (SELECT DISTINCT doc_id AS x FROM labels)) GROUP BY g")
 def int_runs(spark, d):
     return ranges.int_runs(V.table(spark, d, "labels"), "doc_id")

@@ -88,6 +88,42 @@ def test_compare(spark):
     assert sorted(map(tuple, compare.diff_anti(a, b, "id").collect())) == [(1, "a"), (3, "b")]
 
 
+def greedy(parts, nodes, chunk, overlap):
+    """The fold, a piece at a time."""
+    full, node, load, out = sum(n for _, _, n in parts) / nodes, 0, 0, []
+    for name, pos, rest in sorted(parts, key=lambda x: x[1]):
+        piece = 0
+        while True:
+            if load >= full > 0:
+                node, load = node + 1, 0
+            if rest < 1.5 * chunk:
+                out.append((name, piece, pos, rest, node))
+                load += rest
+                break
+            out.append((name, piece, pos, chunk, node))
+            load, pos, rest, piece = load + chunk - overlap, pos + chunk - overlap, rest - chunk + overlap, piece + 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, nodes", [(0, 1), (1, 3), (2, 8), (3, 40)])
+def test_greedy_schedule(spark, seed, nodes):
+    rnd = random.Random(seed)
+    parts, pos = [], 7
+    for i in range(rnd.randint(5, 60)):
+        n = rnd.choice([0, 0, 1, 3, 40, 149, 150, 900, 5000])
+        parts.append((f"p{i}", pos, n))
+        pos += n + 10
+    got = ranges.schedule_greedy(spark.createDataFrame(parts, "name string, pos long, len long"), nodes, 100, 10)
+    assert sorted(map(tuple, got.collect())) == greedy(parts, nodes, 100, 10)
+
+
+def test_greedy_schedule_of_nothing(spark):
+    none = ranges.schedule_greedy(spark.createDataFrame([], "name string, pos long, len long"), 4, 100)
+    assert not none.count()
+    flat = ranges.schedule_greedy(spark.createDataFrame([("a", 0, 0), ("b", 5, 0)], "name string, pos long, len long"), 4, 100)
+    assert {r.node for r in flat.collect()} == {0}
+
+
 def test_fuzzy_patterns():
     assert fuzzy.patterns("ACGT", 4, 0) == ["ACGT"]
     one = fuzzy.patterns("ACGTA", 4, 1)
