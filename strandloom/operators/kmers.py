@@ -6,24 +6,81 @@ array's size below, with the whole expression of the sequence copied into the la
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.functions.flat import ends_of, flat, fixed
+
+
+def window_counts(texts: DataFrame, col: str, k: int) -> DataFrame:
+    """word (binary), n: every string of k bytes in a column of texts and how often it occurs. Texts are counted many at a time, so what is grouped is a row for each word of a stretch, not one for each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, data, bounds in flat(b, 0):
+                data = np.asarray(data)
+                at = np.flatnonzero(np.arange(k, len(data) + k) <= ends_of(bounds))
+                if not len(at):
+                    continue
+                known = np.flatnonzero(np.bincount(data, minlength=256))
+                if len(known) ** k < 1 << 62:
+                    digit = np.zeros(256, np.int64)
+                    digit[known] = np.arange(len(known))
+                    code = np.zeros(len(data) - k + 1, np.int64)
+                    for i in range(k):
+                        code *= len(known)
+                        code += digit[data[i : len(data) - k + 1 + i]]
+                    code = code[at]
+                    if len(known) ** k <= 1 << 22:
+                        n = np.bincount(code)
+                        code = np.flatnonzero(n)
+                        n = n[code]
+                    else:
+                        code, n = np.unique(code, return_counts=True)
+                    words = np.empty((len(code), k), np.uint8)
+                    for i in range(k - 1, -1, -1):
+                        words[:, i] = known[code % len(known)]
+                        code = code // len(known)
+                else:
+                    wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, k)[at])
+                    words, n = np.unique(wide, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([fixed(words, pa.binary()), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    counts = texts.select(F.col(col).cast("binary").alias("raw")).mapInArrow(run, "word binary, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def kmer_freq(seqs: DataFrame, k: int = 7, share: float = 1.0) -> DataFrame:
     """kmer, n over the first `share` of each sequence."""
     seq = F.col("seq") if share >= 1 else F.substring(F.col("seq"), F.lit(1), F.floor(F.length("seq") * share).cast("int"))
-    raw = seqs.select(seq.cast("binary").alias("raw"))
-    counts = raw.select(F.explode_outer(S.kmers(F.col("raw"), k)).alias("kmer")).where("kmer IS NOT NULL").groupBy("kmer").agg(F.count("*").alias("n"))
-    return counts.select(F.col("kmer").cast("string").alias("kmer"), "n")
+    return window_counts(seqs.select(seq.alias("seq")), "seq", k).select(F.col("word").cast("string").alias("kmer"), "n")
 
 
 def with_starts(seqs: DataFrame, pattern: str) -> DataFrame:
     """doc_id, starts: 1-based starts of all matches, overlapping ones too."""
     raw = seqs.select("doc_id", F.col("seq").cast("binary").alias("raw"))
-    return raw.select("doc_id", S.overlapping_starts(F.col("raw"), pattern).cast("array<bigint>").alias("starts"))
+    if not pattern:
+        return raw.select("doc_id", S.overlapping_starts(F.col("raw"), pattern).cast("array<bigint>").alias("starts"))
+    wanted = pattern.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, data, bounds in flat(b, 1):
+                hit = np.arange(len(wanted), len(data) + len(wanted)) <= ends_of(bounds)
+                for i, c in enumerate(wanted):
+                    hit[: len(data) - i] &= data[i:] == c
+                at = np.flatnonzero(hit)
+                first = np.searchsorted(at, bounds)
+                starts = pa.array(at + 1 - np.repeat(bounds[:-1], np.diff(first)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), starts)], ["doc_id", "starts"])
+
+    kind = raw.schema["doc_id"].dataType.simpleString()
+    return raw.mapInArrow(run, f"doc_id {kind}, starts array<bigint>")
 
 
 def pattern_positions(seqs: DataFrame, pattern: str) -> DataFrame:

@@ -262,3 +262,24 @@ def test_backward_search_counts_all_patterns_at_once(spark):
             if rows:
                 want[x, i] = (rows[0], rows[-1], len(rows))
     assert got == want and len(want) > 200
+
+
+def test_windows_and_starts_of_many_texts_at_once(spark):
+    """Rows of one stretch do not run into each other; long, short, empty and null texts; words too wide for a number."""
+    from strandloom.functions import flat
+    from strandloom.operators import kmers
+
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("ACGTN") for _ in range(rnd.choice([0, 1, 2, 9, 300]))) for _ in range(200)] + [None, "A" * (flat.STRETCH + 5), "ACGTÄ" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, seq string").repartition(2)
+    for k in (1, 2, 7, 40):
+        want: dict = {}
+        for t in texts:
+            b = (t or "").encode()
+            for i in range(len(b) - k + 1):
+                want[b[i : i + k]] = want.get(b[i : i + k], 0) + 1
+        assert {bytes(r.word): r.n for r in kmers.window_counts(df, "seq", k).collect()} == want
+    for pattern in ("A", "AA", "ACG"):
+        got = {r.doc_id: r.starts for r in kmers.with_starts(df, pattern).collect()}
+        assert got == {i: [m.start() + 1 for m in re.finditer(f"(?={pattern})".encode(), (t or "").encode())] for i, t in enumerate(texts)}
+    assert "Generate" not in kmers.window_counts(df, "seq", 2)._jdf.queryExecution().optimizedPlan().toString()
