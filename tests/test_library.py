@@ -283,3 +283,23 @@ def test_windows_and_starts_of_many_texts_at_once(spark):
         got = {r.doc_id: r.starts for r in kmers.with_starts(df, pattern).collect()}
         assert got == {i: [m.start() + 1 for m in re.finditer(f"(?={pattern})".encode(), (t or "").encode())] for i, t in enumerate(texts)}
     assert "Generate" not in kmers.window_counts(df, "seq", 2)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_suffixes_of_many_chunks_together(spark):
+    """Chunks sorted together do not look into each other, and no columns but those asked for are made."""
+    rnd = random.Random(13)
+    seqs = ["".join(rnd.choice("AC$" if i % 3 else "ACGT") for _ in range(rnd.choice([0, 1, 2, 40]))) for i in range(150)] + ["A" * 300, "AC" * 90, "B\x01A"]
+    bounds = np.append(0, np.cumsum([len(s) + 1 for s in seqs]))
+    ranks = X.suffix_ranks(np.frombuffer("".join(s + "$" for s in seqs).encode(), np.uint8), bounds)
+    for i, s in enumerate(seqs):
+        order = sorted(range(len(s) + 1), key=lambda k: s[k:] + "$")
+        assert [ranks[bounds[i] + k] - bounds[i] for k in order] == list(range(len(s) + 1))
+    df = spark.createDataFrame([(i, 1, s) for i, s in enumerate(seqs)], "doc_id long, chunk int, seq string").coalesce(1)
+    rows = X.suffix_rows(df, ("row", "sa"))
+    assert rows.columns == ["doc_id", "chunk", "row", "sa"]
+    got: dict = {}
+    for r in sorted(rows.collect()):
+        got.setdefault(r.doc_id, []).append(r.sa)
+    assert got == {i: sorted(range(len(s) + 1), key=lambda k: s[k:] + "$") for i, s in enumerate(seqs)}
+    plain = df.where(~F.col("seq").contains("$") & ~F.col("seq").contains("\x01"))
+    assert {r.doc_id: r.seq for r in X.inverse_bwt(X.bwt_transform(plain)).collect()} == {i: s for i, s in enumerate(seqs) if "$" not in s and "\x01" not in s}
