@@ -303,3 +303,19 @@ def test_suffixes_of_many_chunks_together(spark):
     assert got == {i: sorted(range(len(s) + 1), key=lambda k: s[k:] + "$") for i, s in enumerate(seqs)}
     plain = df.where(~F.col("seq").contains("$") & ~F.col("seq").contains("\x01"))
     assert {r.doc_id: r.seq for r in X.inverse_bwt(X.bwt_transform(plain)).collect()} == {i: s for i, s in enumerate(seqs) if "$" not in s and "\x01" not in s}
+
+
+def test_words_of_an_index_by_contig(spark):
+    """Every word of an index at once, with contigs of several chunks counted once; the work knows no patterns."""
+    rnd = random.Random(14)
+    chunks = [(i // 2 if i < 20 else i, 1 + i % 2 if i < 20 else 1, "".join(rnd.choice("ACG") for _ in range(rnd.choice([0, 2, 5, 90]))), i >= 20) for i in range(60)]
+    df = spark.createDataFrame(chunks, "doc_id long, chunk int, seq string, alone boolean").repartition(3)
+    for k in (1, 3, 5, 12):
+        n, docs = {}, {}
+        for doc, _, s, _ in chunks:
+            for i in range(len(s) - k + 1):
+                n[s[i : i + k]] = n.get(s[i : i + k], 0) + 1
+                docs.setdefault(s[i : i + k], set()).add(doc)
+        want = {w: (x, len(docs[w])) for w, x in n.items()}
+        assert {r.pattern: (r.n, r.contigs) for r in X.word_counts(X.bwt_transform(df), k).collect()} == want
+        assert {r.pattern: (r.n, r.contigs) for r in X.word_counts(X.bwt_transform(df.drop("alone")), k).collect()} == want
