@@ -33,7 +33,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from strandloom.sources.text import scratch, stored
 
 RANGE = 32 << 20
-BATCH = 640 << 10  # about ten workloads of 200 reads
+BATCH = 640 << 10  # about ten workloads of 200 reads: a stream's batch if nothing else is said
+CORE = 8 << 20  # bytes of a batch for each core, where the batch follows the cluster
 NOTE = "planned.json"
 FASTQ = "name string, seq string, file string, pos long"
 FASTA = "name string, part long, n long, bases string"
@@ -284,12 +285,16 @@ def planned(state: str) -> dict[str, int]:
         return json.loads(f.read())
 
 
-def stream_fastq(spark: SparkSession, path: str, write: Callable[[DataFrame, int], None], state: str, batch_bytes: int = BATCH) -> None:
+def stream_fastq(spark: SparkSession, path: str, write: Callable[[DataFrame, int], None], state: str, batch_bytes: int | None = None) -> None:
     """Gives write the FASTQ records below path, a micro-batch and its number at a time, until all that there is now has been read.
+    A batch takes at most batch_bytes, or CORE for each core of the cluster: what a batch costs beside its records would else grow with the input.
     State (checkpoint and offsets) is kept in the folder `state`: called again, it goes on where it stopped, also after a
     failure. A batch may be tried again, so write should replace what it wrote under that number."""
     register(spark)
-    stream = spark.readStream.format("fastq_ranges").option("path", path).option("batchbytes", batch_bytes).option("progress", f"{state}/progress").load()
+    cores = spark.sparkContext.defaultParallelism
+    most = cores * CORE if batch_bytes is None else batch_bytes
+    step = max(64 << 10, -(-most // (4 * cores)))
+    stream = spark.readStream.format("fastq_ranges").option("path", path).option("batchbytes", most).option("rangebytes", step).option("progress", f"{state}/progress").load()
     size = dict(listed(path))
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{state}/checkpoint").trigger(processingTime="0 seconds").start()
     try:

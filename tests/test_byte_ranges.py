@@ -100,3 +100,19 @@ def test_stream_fails_and_goes_on(spark, tmp_path):
     assert go(write) == sorted(rows)
     done = dict(sizes)
     assert go(write) == sorted(rows) and sizes == done  # nothing new
+
+
+def test_batches_follow_the_cluster_not_the_input(spark, tmp_path):
+    """Without a size of its own a stream takes bytes by cores: a few MB are one batch, where 640 kB each made many."""
+    folder, numbers = tmp_path / "reads", []
+    folder.mkdir()
+    rows = write_reads(folder / "a.fq", 0, 30_000)
+    assert (folder / "a.fq").stat().st_size > 3 * B.BATCH
+    got = []
+
+    def write(df, number):
+        got.extend((r.name, r.seq) for r in df.select("name", "seq").collect())
+        numbers.append(number)
+
+    B.stream_fastq(spark, folder.as_uri(), write, str(tmp_path / "state"))
+    assert sorted(got) == sorted(rows) and numbers == [0]
