@@ -2,7 +2,7 @@
 
 Each stage works on all rows of its predecessor; all but the last return the columns of documents. In order: documents
 that the quality classifier rejects go; of each group of near-duplicates
-(five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest doc_id stays;
+(linked by SimHash as in op6, or by an exact check after it: five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest doc_id stays;
 strings of 400 bytes and runs of 51 words that occur again are cut out of the texts (a document that is nothing else is left with an empty
 text); documents are repeated or left out so that sources meet their target words; and what is left is packed into
 sequences. Copies of a document carry its doc_id, so the last stage has a row for each copy of each piece.
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import _io, jaccard, mixing, packing, quality, suffixes
+from strandloom.llm import _io, jaccard, mixing, packing, quality, simhash, suffixes
+from strandloom.llm.components import components
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    """Links by SimHash, and those that an exact check finds beside them; a group is what either joins. A row without a doc_id stays only if none of its group has one."""
+    docs, key = _io.named(docs)
+    rows = docs.select(F.col(key).cast("long").alias("key"), "text", F.col("doc_id").alias("id"))
+    prints = simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("u"))
+    exact = jaccard.near_duplicates(rows.select("key", "text"), "key")
+    least = exact.groupBy("root").agg(F.min("key").alias("v"))
+    both = _io.stored(prints.join(exact.join(least, "root").select("key", "v"), "key"), "links")
+    roots = components(both.where("u <> v").select("u", "v").distinct())
+    found = both.join(roots.withColumnRenamed("node", "u"), "u", "left").select("key", F.coalesce("root", "u").alias("root")).join(rows.select("key", "id"), "key")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key")))["key"].alias("key")).select("key")
+    return docs.join(kept, docs[key] == kept["key"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns if c != key or key == "doc_id"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

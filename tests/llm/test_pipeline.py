@@ -73,3 +73,28 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_names():
     assert [f.__module__ for _, f in C.STAGES] == ["corpus_pipeline"] * 5 and C.ORACLE_SQL is None
     assert simhash.DISTANCE == 4
+
+
+def test_near_dedup_links_by_simhash_and_by_the_exact_check(spark, tmp_path, monkeypatch):
+    """A chain over both kinds of links is one group; SimHash alone, and the exact check alone, leave more."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    near = words[:300]
+    near[150] = "other"  # one word of 300: similar by shingles
+    rows = [(1, " ".join(words[:300])), (2, " ".join(near)), (3, " ".join(words[100:200])), (4, " ".join(words[:300])), (None, " ".join(words[:300])), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    asked = []
+    true = simhash.near_duplicates
+
+    def linked(docs, **options):
+        asked.append(1)
+        out = true(docs, **options)
+        # 3 and 2 as if their fingerprints were near: only this link joins them
+        ids = docs.where("size(split(text, ' ')) = 100").select("doc_id").first()[0], docs.where("text LIKE '%other%'").select("doc_id").first()[0]
+        lowest = min(ids)
+        return out.selectExpr("doc_id", "fingerprint", f"CASE WHEN doc_id IN ({ids[0]}, {ids[1]}) THEN {lowest} ELSE component_id END AS component_id")
+
+    monkeypatch.setattr(simhash, "near_duplicates", linked)
+    kept = C.near_dedup(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) in ([1, 5], [1, 5, 6]) and asked == [1]
