@@ -117,6 +117,27 @@ def test_greedy_schedule(spark, seed, nodes):
     assert sorted(map(tuple, got.collect())) == greedy(parts, nodes, 100, 10)
 
 
+def test_greedy_pointers_grow_with_nodes_not_pieces(spark):
+    """Beginnings of nodes are all among the points that get pointers, and these are few."""
+    rnd = random.Random(5)
+    parts, at, pos = [], {}, 0
+    for i in range(20_000):
+        n = rnd.choice([0, 7, 120, 149, 150, 1000])
+        parts.append((f"p{i}", pos + i, n))
+        at[f"p{i}"] = pos
+        pos += n
+    avg, nodes = -(-pos // 8), 8
+    want = greedy(parts, nodes, 100, 10)
+    points = sorted({at[name] + piece * 90 for name, piece, *_ in want})
+    held = {r[0] for r in ranges.beginnings(spark.createDataFrame([(x,) for x in points], "point long"), avg, 149).collect()}
+    first = {}
+    for name, piece, _, _, node in want:
+        first[node] = min(first.get(node, pos), at[name] + piece * 90)
+    assert set(first.values()) <= held and len(first) == nodes and len(held) < 200 < len(points)
+    got = ranges.schedule_greedy(spark.createDataFrame(parts, "name string, pos long, len long"), nodes, 100, 10)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_greedy_schedule_of_nothing(spark):
     none = ranges.schedule_greedy(spark.createDataFrame([], "name string, pos long, len long"), 4, 100)
     assert not none.count()
