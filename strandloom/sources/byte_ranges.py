@@ -21,8 +21,10 @@ from __future__ import annotations
 import io
 import json
 import posixpath
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyarrow import fs
@@ -74,10 +76,10 @@ class Ranges(InputPartition):
 
 
 def together(ranges: list[Range], most: int) -> Iterator[Ranges]:
-    """Consecutive ranges of at most so many bytes, or single ones."""
+    """Consecutive ranges of one file of at most so many bytes, or single ones."""
     held, size = [], 0
     for r in ranges:
-        if held and size + r.stop - r.start > most:
+        if held and (size + r.stop - r.start > most or r.file != held[0].file):
             yield Ranges(held)
             held, size = [], 0
         held.append(r)
@@ -212,17 +214,23 @@ class FastaReader(DataSourceReader):
                 yield x
 
     def partitions(self) -> list[Ranges]:
-        (file, _), *others = listed(self.path)
-        if others:
-            raise ValueError("an index places contigs in one file; the path is a folder of several")
+        files = listed(self.path)
+        ends = list(accumulate(size for _, size in files))
         out, store = [], place(self.index)[0]
         for name, _ in listed(self.index):
             with store.open_input_file(name) as raw, io.BufferedReader(raw, 1 << 20) as f:
                 for line in f:
                     contig, pos, n = line.decode().rsplit(maxsplit=2)
                     if self.names is None or contig in self.names:
-                        out += cut(file, int(pos), int(pos) + int(n), self.step, contig)
-        return list(together(out or [Range(file, 0, 0)], self.most))
+                        if not int(n):
+                            continue
+                        at = bisect_right(ends, int(pos))  # the file that has this byte of all files joined
+                        if at == len(ends) or int(pos) + int(n) > ends[at]:
+                            raise ValueError(f"{contig} goes beyond the end of a file")
+                        start = int(pos) - (ends[at] - files[at][1])
+                        out += cut(files[at][0], start, start + int(n), self.step, contig)
+        # an index need not be in order of place
+        return list(together(sorted(out, key=lambda r: (r.file, r.start)) or [Range(files[0][0], 0, 0)], self.most))
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
         with place(self.path)[0].open_input_file(partition.ranges[0].file) as f:
@@ -234,7 +242,7 @@ class FastaReader(DataSourceReader):
 
 
 class FastaRanges(DataSource):
-    """Options: path (one file), index (lines of name, pos, len), rangebytes of a piece, taskbytes of a task's pieces."""
+    """Options: path (a file, or a folder of files taken as joined in order of their names; a contig lies in one), index (lines of name, pos, len), rangebytes of a piece, taskbytes of a task's pieces."""
 
     @classmethod
     def name(cls) -> str:

@@ -116,3 +116,22 @@ def test_batches_follow_the_cluster_not_the_input(spark, tmp_path):
 
     B.stream_fastq(spark, folder.as_uri(), write, str(tmp_path / "state"))
     assert sorted(got) == sorted(rows) and numbers == [0]
+
+
+def test_a_folder_is_read_as_its_files_joined(spark, tmp_path):
+    """Places count over the files of a folder in order of name, and pieces are read back from them; one task need not hold all."""
+    rnd = random.Random(3)
+    bodies = {f"c{i}": "".join(rnd.choice("ACGT") for _ in range(n)) for i, n in enumerate([0, 70, 5000, 60, 0, 333])}
+    text = {k: f">{k} about\n" + "".join(v[a : a + 60] + "\n" for a in range(0, len(v), 60)) for k, v in bodies.items()}
+    folder, one, index = tmp_path / "many", tmp_path / "one.fa", tmp_path / "index"
+    folder.mkdir()
+    for i, names in enumerate([["c0", "c1"], ["c2"], ["c3", "c4"], ["c5"]]):
+        (folder / f"part-{i}.txt").write_text("".join(text[k] for k in names))
+    one.write_text("".join(text.values()))
+    want = sorted((r.name, r.pos, r.len) for r in T.fasta_index(spark, str(one)).collect())
+    found = T.fasta_folder_index(spark, folder.as_uri())
+    assert sorted(map(tuple, found.collect())) == want
+    found.selectExpr("concat_ws(' ', name, pos, len) AS value").write.text(str(index))
+    rows = B.fasta_pieces(spark, folder.as_uri(), index.as_uri(), range_bytes=1000).collect()
+    for k, v in bodies.items():
+        assert "".join(b for _, b in sorted((r.start, r.bases) for r in rows if r.name == k)) == v
